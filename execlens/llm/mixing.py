@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weight_of_rank: Column | None = None, cap:
     return w.select("source", "source_size", target.cast("double").alias("target"))
 
 
-SEEDS = 64
+SEEDS = 16
 
 
 def _key(source: Column) -> Column:
@@ -77,6 +77,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("base", F.floor(rate)).withColumn("f", rate - F.floor(rate))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11).cast("double") / F.lit(float(1 << 53)))
 
+    rows = materialize(rows)
+
     def drawn(offset: Column) -> Column:
         turned = F.col("h") + offset
         return F.when(turned - F.floor(turned) < F.col("f"), 1).otherwise(0)
