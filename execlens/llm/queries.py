@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, search, warc
-from .common import table
+from . import chat, embeddings, mixing, neardup, packing, search, substring, warc
+from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -39,6 +43,23 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(v, v.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES: dict[str, Query] = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op5_chat": op5_chat, "op6_topk": op6_topk}
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_links(table(spark, sf_dir, "documents"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.cosine_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = materialize(substring.remove_repeats(docs))
+    out = cut.join(substring.repeat_classes(cut), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_removed", "removed_words", "firsts", "text")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_jaccard, op5_chat, op6_topk, op9_embeddings, op10_substring)
+}
 
 ORACLE_SQL: dict[str, str] = {}
