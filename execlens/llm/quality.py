@@ -61,19 +61,21 @@ def _sparse(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, (c * (SCALE / (len(f) + PRIOR_WORDS))).astype(np.float64)
 
 
-def ftrl(rows: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Weights (the last one is the bias) after one pass of FTRL-proximal over (features, values, label)."""
+def ftrl(rows: Iterator[tuple[np.ndarray, np.ndarray, int]], offset: float = 0.0) -> np.ndarray:
+    """Weights (the last one is the bias) after one pass of FTRL-proximal over (features, values, label).  The bias starts from offset, the log odds of the sample."""
     dim = 1 << BITS
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
     solve = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for u, x, y in rows:
         u, x = np.append(u, dim), np.append(x, 1.0)
         w = solve(z[u], n[u])
-        p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(w @ x + offset, -35, 35)))
         g = (p - y) * x
         z[u] += g - (np.sqrt(n[u] + g * g) - np.sqrt(n[u])) / ALPHA * w
         n[u] += g * g
-    return solve(z, n).astype(np.float32)
+    w = solve(z, n)
+    w[dim] += offset
+    return w.astype(np.float32)
 
 
 def held_out(doc_id: str):
@@ -85,6 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("y"))
     # the sample has at most `rows` rows of two numbers, so it may be broadcast
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    seen = some.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")).first()
+    offset = float(np.log((seen["good"] + 1) / (seen["n"] - seen["good"] + 1)))
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for u, x, y in zip(b.column("u"), b.column("x"), b.column("y").to_pylist()):
                     yield np.frombuffer(u.as_buffer(), np.int32).astype(np.int64), np.frombuffer(x.as_buffer(), np.float32).astype(np.float64), y
 
-        yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows_of()).tobytes()], pa.binary())], ["w"])
+        yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows_of(), offset).tobytes()], pa.binary())], ["w"])
 
     # one after another is how the method learns: one task, over a sample whose size is bounded
     made = picked.mapInArrow(vectors, "_id long, y int, u binary, x binary").repartition(1).sortWithinPartitions(F.xxhash64("_id", F.lit(3)), "_id", "y")
