@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, neardup, packing, quality, search, substring, warc
+from . import chat, embeddings, html, mixing, neardup, packing, quality, search, substring, warc
 from .common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_links(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_jaccard, op5_chat, op6_topk, op8_quality, op9_embeddings, op10_substring)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_jaccard, op5_chat, op6_topk, op7_html, op8_quality, op9_embeddings, op10_substring)
 }
 
 ORACLE_SQL: dict[str, str] = {}
