@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "relational", "mutation")
+MODULES = ("scans", "relational", "mutation", "reports", "streams")
 
 
 def load() -> None:
