@@ -5,7 +5,7 @@ within a sliding window of WINDOW shingles, so that a passage of more than 50 wo
 one whole paragraph wherever it stands.  A paragraph's band key is made of MinHash values of its
 shingles (the smallest hash of one function is the anchor itself); paragraphs overlap, so a passage
 has several bands.  Paragraphs of one key are verified by exact Jaccard similarity against the
-earliest of them, grown word by word to where the texts part, and runs of at least MIN_WORDS words
+earliest like them, grown word by word to where the texts part, and runs of at least MIN_WORDS words
 are removed from all but the earliest document.  Documents joined by removals form components.
 """
 
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .blocks import group_starts
+from .common import components, map_groups, materialize
 from .textops import Words, mix64, text_chunks
 
 SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 32, 50, 5, 0.8
@@ -63,14 +64,23 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, pos int")
 
 
+def paragraph_contents(h: np.ndarray) -> np.ndarray:
+    """Hash of the PARAGRAPH words from each place on; the last places are padded and not for use."""
+    out = np.zeros(len(h), np.uint64)
+    for j in range(min(PARAGRAPH, len(h))):
+        out[: len(h) - j] += mix64(h[j:] + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return mix64(out).view(np.int64)
+
+
 def contexts(texts: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, words): the paragraphs listed in column at, each with the hashes of its words and CONTEXT words around."""
+    """(key, content, doc_id, pos, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words and CONTEXT words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_chunks(batch):
                 w = Words(some)
-                keys, ids, poss, raw = [], [], [], []
+                keys, contents, ids, poss, raw = [], [], [], [], []
+                content = paragraph_contents(w.h)
                 for doc, at, a, b in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), batch.column("at")[part.start : part.stop].to_pylist(), w.at[:-1].tolist(), w.at[1:].tolist()):
                     h = np.zeros(b - a + 2 * CONTEXT, np.uint32)
                     h[CONTEXT : len(h) - CONTEXT] = (w.h[a:b] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -78,31 +88,44 @@ def contexts(texts: DataFrame) -> DataFrame:
                         keys.append(x["key"])
                         ids.append(doc)
                         poss.append(x["pos"])
+                        contents.append(content[a + x["pos"]])
                         raw.append(h[x["pos"] : x["pos"] + SPAN].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(raw, pa.binary())], ["key", "doc_id", "pos", "words"])
-
-    return texts.mapInArrow(run, "key long, doc_id long, pos int, words binary")
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "words"])
 
+    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, words binary")
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact Jaccard of the shingle sets of paragraphs, row by row."""
-    def sets(x: np.ndarray) -> list[set]:
-        return [{tuple(r[i : i + SHINGLE]) for i in range(len(r) - SHINGLE + 1)} for r in x.tolist()]
 
-    return np.array([len(x & y) / max(1, len(x | y)) for x, y in zip(sets(a), sets(b))])
+def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of each key's paragraphs (distinct contents, earliest first) the first whose Jaccard similarity is at least THRESHOLD, or itself.
 
-
-def verify(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which paragraphs (rows of SPAN word hashes) match the first one's, and the words they share before and after."""
-    a, b = own[:, CONTEXT : CONTEXT + PARAGRAPH], first[:, CONTEXT : CONTEXT + PARAGRAPH]
-    ok = (a == b).all(1)
-    rest = np.flatnonzero(~ok)
-    if len(rest):
-        ok[rest] = _jaccard(a[rest], b[rest]) >= THRESHOLD
+    Exact, with every earlier leader of its key; memory is that of the leaders.
+    """
+    key = t.column("key").to_numpy()
+    starts = group_starts(key)
+    lead = np.arange(len(key))
+    words = t.column("words")
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a == 1:
+            continue
+        held: list[tuple[int, frozenset]] = []
+        for r in range(a, b):
+            w = np.frombuffer(words[r].as_buffer(), np.uint32)[CONTEXT : CONTEXT + PARAGRAPH].tolist()
+            own = frozenset(zip(*(w[i:] for i in range(SHINGLE))))
+            for at, other in held:
+                both = len(own & other)
+                if both >= THRESHOLD * (len(own) + len(other) - both) - 1e-9:
+                    lead[r] = at
+                    break
+            else:
+                held.append((r, own))
+    at = pa.array(lead)
+    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("content").combine_chunks(), t.column("doc_id").combine_chunks().take(at), words.combine_chunks().take(at)], ["key", "content", "first", "first_words"])
+
+
+def shared_words(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words before and after a paragraph (rows of SPAN word hashes) agree with those around the first one."""
     same = (own == first) & (own != 0)
-    left = np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(1)
-    right = np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(1)
-    return ok, left, right
+    return np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(1), np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(1)
 
 
 def merge_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -141,30 +164,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
     own = docs.select("doc_id", "text").join(listed, "doc_id")
     seen = materialize(contexts(own))
-    first = seen.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f")).select("key", F.col("f.doc_id").alias("first"), F.col("f.words").alias("first_words"))
+    # a paragraph's content occurs once here, however many documents hold it
+    contents = seen.groupBy("key", "content").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f")).select("key", "content", "f.*")
+    first = map_groups(contents, ["key"], leaders, "key long, content long, first long, first_words binary", by=["doc_id", "pos", "content"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SPAN) for c in ("words", "first_words"))
-            ok, left, right = verify(x, y)
+            left, right = shared_words(x, y)
             pos = b.column("pos").to_numpy()
-            out = pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("pos"), b.column("words"), b.column("first"), pa.array(ok), pa.array((pos - left).astype(np.int32)), pa.array((pos + PARAGRAPH + right).astype(np.int32))], ["key", "doc_id", "pos", "words", "first", "ok", "start", "stop"])
-            yield out
-
-    made = []
-    while True:
-        # the rows of a key that don't match its first row are compared among themselves in the next round
-        done = materialize(seen.join(first, "key").where("doc_id <> first").mapInArrow(compare, "key long, doc_id long, pos int, words binary, first long, ok boolean, start int, stop int"))
-        made.append(done.where("ok").select("doc_id", "start", "stop", "first"))
-        seen = done.where("NOT ok").select("key", "doc_id", "pos", "words")
-        if seen.isEmpty():
-            break
-        first = seen.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f"), F.max("doc_id").alias("y")).where("f.doc_id <> y").select("key", F.col("f.doc_id").alias("first"), F.col("f.words").alias("first_words"))
-    spans = made[0]
-    for m in made[1:]:
-        spans = spans.unionAll(m)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos - left).astype(np.int32)), pa.array((pos + PARAGRAPH + right).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
+
+    spans = seen.join(first, ["key", "content"]).where("doc_id <> first").mapInArrow(compare, "doc_id long, start int, stop int, first long")
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(-1).alias("stop"), "first")
     return spans.unionAll(whole).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
 
