@@ -68,8 +68,15 @@ def bucket_keys(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def _rows(column) -> np.ndarray:
+    """Vectors as rows.  Groups of several lengths may come together; zeros at the end change no cosine, and a group has one length."""
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(c.flatten(), np.float64).reshape(len(c), -1)
+    flat, at = np.asarray(c.flatten(), np.float64), c.offsets.to_numpy()
+    size = np.diff(at)
+    if len(size) and (size == size[0]).all():
+        return flat.reshape(len(c), -1)
+    out = np.zeros((len(c), int(size.max(initial=0))))
+    out[np.repeat(np.arange(len(c)), size), np.arange(len(flat)) - np.repeat(at[:-1] - at[0], size)] = flat
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

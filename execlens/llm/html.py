@@ -244,7 +244,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             rows = []
             for host, n, tokens in zip(*[b.column(c).to_pylist() for c in ("host", "n", "tokens")]):
                 article = any(t["once"] and re.search(r"<(?:.*/)?(?:article|main)[^/]*$", t["token"]) for t in tokens)
-                text = [t["token"] for t in tokens if t["once"] and "#" in t["token"] and t["token"] != "#page"] if n >= MIN_PAGES else []
+                # inside an article a text stays even if all pages share it: it may be the article's own
+                text = [t["token"] for t in tokens if t["once"] and "#" in t["token"] and t["token"] != "#page"] if n >= MIN_PAGES and not article else []
                 rows.append((host, text, None if article else fallback_path(tokens)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string())], ["t_host", "skeleton", "fallback"])
 

@@ -94,6 +94,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = mix(docs, id_col, text_col, source_col, **args).select(F.xxhash64(id_col, source_col, "size").alias("_row"), "copies")
     # rows that agree in id, source and size are told apart by their place among them
     nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    own = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(source_col), words(F.col(text_col)))).withColumn("_nth", nth)
+    own = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.xxhash64(F.col(id_col), F.col(source_col), words(F.col(text_col))).alias("_row")).withColumn("_nth", nth)
     made = made.withColumn("_nth", nth).where("copies > 0")
-    return own.join(made, ["_row", "_nth"]).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    out = own.join(made, ["_row", "_nth"]).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
