@@ -76,7 +76,7 @@ class StallProcessor(StatefulProcessor):
         emit("window", started, at, "stalled")
         run += 1
         if episode is None and run >= self.consecutive:
-            episode = started
+            episode = at  # an episode begins when it is found
             emit("episode", episode, None, "open")
         return (at, int(progress), int(activity), run, episode, at)
 
