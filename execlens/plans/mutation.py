@@ -12,7 +12,9 @@ from .catalog import query
 from .scans import NOW
 
 # events as a transition log: a type stands for the state it leads to
-STATE = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "leased").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
+def state_of_event():
+    return F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "leased").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
+
 STATE_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'leased' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END"
 LOG_SQL = f"log AS (SELECT execution_id, sequence, {STATE_SQL} AS to_state, lag({STATE_SQL}) OVER w AS from_state, row_number() OVER w AS revision FROM ev WINDOW w AS (PARTITION BY execution_id ORDER BY sequence))"
 LEGAL_SQL = ", ".join(f"('{a}', '{b}')" for a, bs in checks.TRANSITIONS.items() for b in bs)
@@ -20,7 +22,7 @@ LEGAL_SQL = ", ".join(f"('{a}', '{b}')" for a, bs in checks.TRANSITIONS.items()
 
 def log(spark, d):
     w = Window.partitionBy("execution_id").orderBy("sequence")
-    e = V.events(spark, d).withColumn("to_state", STATE)
+    e = V.events(spark, d).withColumn("to_state", state_of_event())
     return e.select("execution_id", "sequence", "to_state", F.lag("to_state").over(w).alias("from_state"), F.row_number().over(w).cast("long").alias("revision"), F.col("sequence").alias("created_at"))
 
 
