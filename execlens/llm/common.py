@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +38,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables whose rows have gone into later ones, and let Spark drop shuffles that nothing refers to."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, by: list[str] | None = None) -> DataFrame:
@@ -76,7 +89,9 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
         if held:
             yield from fn(pa.concat_tables(held).combine_chunks())
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(by or [])).mapInArrow(run, schema)
+    # a set number, since the work of a group isn't in proportion to its bytes, by which small partitions would be joined
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(by or [])).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

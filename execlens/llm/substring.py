@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import group_starts
-from .common import components, map_groups, materialize
+from .common import components, map_groups, materialize, release
 from .textops import Words, mix64, text_chunks
 
-SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 32, 50, 5, 0.8
+SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 26, 50, 5, 0.8
 SPAN = CONTEXT + PARAGRAPH + CONTEXT
 
 
@@ -82,8 +82,8 @@ def contexts(texts: DataFrame) -> DataFrame:
                 keys, contents, ids, poss, raw = [], [], [], [], []
                 content = paragraph_contents(w.h)
                 for doc, at, a, b in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), batch.column("at")[part.start : part.stop].to_pylist(), w.at[:-1].tolist(), w.at[1:].tolist()):
-                    h = np.zeros(b - a + 2 * CONTEXT, np.uint32)
-                    h[CONTEXT : len(h) - CONTEXT] = (w.h[a:b] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                    h = np.zeros(b - a + 2 * CONTEXT, np.uint16)
+                    h[CONTEXT : len(h) - CONTEXT] = (w.h[a:b] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
                     for x in at:
                         keys.append(x["key"])
                         ids.append(doc)
@@ -109,7 +109,7 @@ def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
             continue
         held: list[tuple[int, frozenset]] = []
         for r in range(a, b):
-            w = np.frombuffer(words[r].as_buffer(), np.uint32)[CONTEXT : CONTEXT + PARAGRAPH].tolist()
+            w = np.frombuffer(words[r].as_buffer(), np.uint16)[CONTEXT : CONTEXT + PARAGRAPH].tolist()
             own = frozenset(zip(*(w[i:] for i in range(SHINGLE))))
             for at, other in held:
                 both = len(own & other)
@@ -122,10 +122,17 @@ def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("content").combine_chunks(), t.column("doc_id").combine_chunks().take(at), words.combine_chunks().take(at)], ["key", "content", "first", "first_words"])
 
 
-def shared_words(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words before and after a paragraph (rows of SPAN word hashes) agree with those around the first one."""
+def matched(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words that a paragraph (rows of SPAN word hashes) shares with the first one begin and end, counted from the paragraph's start.
+
+    Words that differ at a paragraph's ends are left out, and it grows only from ends that agree.
+    """
     same = (own == first) & (own != 0)
-    return np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(1), np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(1)
+    inner = same[:, CONTEXT : CONTEXT + PARAGRAPH]
+    lead, trail = inner.argmax(1), inner[:, ::-1].argmax(1)
+    left = np.where(lead == 0, np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(1), 0)
+    right = np.where(trail == 0, np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(1), 0)
+    return lead - left, PARAGRAPH - trail + right
 
 
 def merge_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -160,10 +167,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     some = rows.join(shared, "key").join(copied.select("doc_id"), "doc_id", "left_anti")
     some = materialize(some)
+    release(rows)
     still = some.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
     own = docs.select("doc_id", "text").join(listed, "doc_id")
     seen = materialize(contexts(own))
+    release(some)
     # a paragraph's content occurs once here, however many documents hold it
     contents = seen.groupBy("key", "content").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f")).select("key", "content", "f.*")
     first = map_groups(contents, ["key"], leaders, "key long, content long, first long, first_words binary", by=["doc_id", "pos", "content"])
@@ -172,14 +181,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SPAN) for c in ("words", "first_words"))
-            left, right = shared_words(x, y)
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SPAN) for c in ("words", "first_words"))
+            start, stop = matched(x, y)
             pos = b.column("pos").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos - left).astype(np.int32)), pa.array((pos + PARAGRAPH + right).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos + start).astype(np.int32)), pa.array((pos + stop).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
 
     spans = seen.join(first, ["key", "content"]).where("doc_id <> first").mapInArrow(compare, "doc_id long, start int, stop int, first long")
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(-1).alias("stop"), "first")
-    return spans.unionAll(whole).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
+    made = materialize(spans.unionAll(whole))
+    release(seen, copied)
+    return made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
