@@ -52,6 +52,8 @@ def source_targets(sizes: DataFrame, weight_of_rank: Column | None = None, cap:
 
 
 SEEDS = 16
+#: Sources up to this number (some 100 bytes each) are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def _key(source: Column) -> Column:
@@ -71,9 +73,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Reruns agree.
     """
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    targets = source_targets(sized, cap=cap).withColumn("key", _key(F.col("source"))).drop("source")
+    targets = materialize(source_targets(sized, cap=cap).withColumn("key", _key(F.col("source"))).drop("source"))
+    # a row per source: few enough to be sent to all tasks, or else joined by key
+    few = targets.count() <= BROADCAST_SOURCES
+    beside = F.broadcast if few else (lambda df: df)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.withColumn("key", _key(F.col("source"))).join(targets, "key")
+    rows = sized.withColumn("key", _key(F.col("source"))).join(beside(targets), "key")
     rows = rows.withColumn("base", F.floor(rate)).withColumn("f", rate - F.floor(rate))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11).cast("double") / F.lit(float(1 << 53)))
 
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     totals = rows.groupBy("key").agg(*[F.sum(F.col("size") * (F.col("base") + drawn(F.lit(k / SEEDS)))).alias(f"t{k}") for k in range(SEEDS)], F.first("target").alias("target"))
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k / SEEDS).alias("offset")) for k in range(SEEDS)]))
-    out = rows.join(totals.select("key", best["offset"].alias("offset")), "key").withColumn("copies", (F.col("base") + drawn(F.col("offset"))).cast("int"))
+    out = rows.join(beside(totals.select("key", best["offset"].alias("offset"))), "key").withColumn("copies", (F.col("base") + drawn(F.col("offset"))).cast("int"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
