@@ -44,8 +44,18 @@ def paragraph_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(s[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(own ^ np.uint64(0x5851F42D4C957F2D)).min(1))
 
 
+def runs(h: np.ndarray, key: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of neighbouring paragraphs of one text whose words are the same, as in texts that repeat a phrase."""
+    same = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
+    maybe = np.flatnonzero(same)
+    if len(maybe):
+        words = np.arange(PARAGRAPH)
+        same[maybe] = (h[at[maybe][:, None] + words] == h[at[maybe + 1][:, None] + words]).all(1)
+    return np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos) of every paragraph."""
+    """(key, doc_id, pos, last): every paragraph; neighbours of the same words are one row, from pos to last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,11 +67,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     got.append(at + a)
                 if not any(len(g) for g in got):
                     continue
-                n, flat = [len(g) for g in got], np.concatenate(got)
+                flat, text = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
+                key = paragraph_keys(s, flat)
+                a, b = runs(w.h, key, flat, text)
                 ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(paragraph_keys(s, flat).view(np.int64)), pa.array(np.repeat(ids, n).astype(np.int64)), pa.array((flat - np.repeat(w.at[:-1], n)).astype(np.int32))], ["key", "doc_id", "pos"])
+                base = w.at[:-1][text[a]]
+                yield pa.RecordBatch.from_arrays([pa.array(key[a].view(np.int64)), pa.array(ids[text[a]].astype(np.int64)), pa.array((flat[a] - base).astype(np.int32)), pa.array((flat[b] - base).astype(np.int32))], ["key", "doc_id", "pos", "last"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int")
+    return docs.mapInArrow(run, "key long, doc_id long, pos int, last int")
 
 
 def paragraph_contents(h: np.ndarray) -> np.ndarray:
@@ -73,13 +86,13 @@ def paragraph_contents(h: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(key, content, doc_id, pos, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words and CONTEXT words around."""
+    """(key, content, doc_id, pos, last, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words, CONTEXT words before pos and as many after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_chunks(batch):
                 w = Words(some)
-                keys, contents, ids, poss, raw = [], [], [], [], []
+                keys, contents, ids, poss, lasts, raw = [], [], [], [], [], []
                 content = paragraph_contents(w.h)
                 for doc, at, a, b in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), batch.column("at")[part.start : part.stop].to_pylist(), w.at[:-1].tolist(), w.at[1:].tolist()):
                     h = np.zeros(b - a + 2 * CONTEXT, np.uint16)
@@ -89,10 +102,12 @@ def contexts(texts: DataFrame) -> DataFrame:
                         ids.append(doc)
                         poss.append(x["pos"])
                         contents.append(content[a + x["pos"]])
-                        raw.append(h[x["pos"] : x["pos"] + SPAN].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "words"])
+                        lasts.append(x["last"])
+                        tail = x["last"] + CONTEXT + PARAGRAPH
+                        raw.append(h[x["pos"] : x["pos"] + CONTEXT + PARAGRAPH].tobytes() + h[tail : tail + CONTEXT].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(lasts, pa.int32()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "last", "words"])
 
-    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, words binary")
+    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, last int, words binary")
 
 
 def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -169,7 +184,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     some = materialize(some)
     release(rows)
     still = some.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
+    listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "last")).alias("at"))
     own = docs.select("doc_id", "text").join(listed, "doc_id")
     seen = materialize(contexts(own))
     release(some)
@@ -183,8 +198,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SPAN) for c in ("words", "first_words"))
             start, stop = matched(x, y)
-            pos = b.column("pos").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos + start).astype(np.int32)), pa.array((pos + stop).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
+            pos, last = b.column("pos").to_numpy(), b.column("last").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos + start).astype(np.int32)), pa.array((last + stop).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
 
     spans = seen.join(first, ["key", "content"]).where("doc_id <> first").mapInArrow(compare, "doc_id long, start int, stop int, first long")
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(-1).alias("stop"), "first")

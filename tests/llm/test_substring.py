@@ -74,3 +74,13 @@ def test_many_holders_of_one_passage(spark, docs):
     rows = [(i, " ".join(words(rng, 20) + p + words(rng, 20)), "s") for i in range(200)]
     got = substring.remove_repeats(docs(rows)).collect()
     assert sum(r.n_removed for r in got) == 199 and all(len(r.text.split()) == 40 for r in got if r.doc_id)
+
+
+def test_a_phrase_repeated_within_and_across_documents(spark, docs):
+    rng = random.Random(17)
+    phrase = ["is", "onhe", "and"]
+    rows = [(i, " ".join(words(rng, 30) + phrase * n + words(rng, 30)), "s") for i, n in enumerate((100, 40, 300))]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs(rows)).collect()}
+    assert got[0].text == rows[0][1]
+    for i in (1, 2):
+        assert got[i].n_removed == 1 and 60 <= len(got[i].text.split()) <= 62 and got[i].firsts == [0]
