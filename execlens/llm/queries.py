@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embeddings, html, mixing, neardup, packing, quality, search, substring, warc
-from .common import materialize, table
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = materialize(substring.remove_repeats(docs))
-    out = cut.join(substring.repeat_classes(cut), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_removed", "removed_words", "firsts", "text")
+    return substring.remove_repeats(docs).select("doc_id", "class_id", "n_removed", "removed_words", "firsts", "text")
 
 
 QUERIES: dict[str, Query] = {

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import group_starts
-from .common import components, map_groups, materialize, release
-from .textops import Words, mix64, text_chunks
+from .common import WORD, components, map_groups, materialize, release
+from .textops import Words, mix64, text_chunks, word_bounds
 
 SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 26, 50, 5, 0.8
 SPAN = CONTEXT + PARAGRAPH + CONTEXT
@@ -177,8 +177,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = materialize(paragraphs(docs))
     # copies of one text repeat it as a whole and need no paragraphs
     copies = docs.where(F.octet_length("text") > 0).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copied = docs.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("m")).join(copies, "m").where("doc_id > first").select("doc_id", "first")
-    copied = materialize(copied.groupBy("doc_id").agg(F.min("first").alias("first")))
+    copied = docs.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("words")).join(copies, "m").where("doc_id > first")
+    copied = materialize(copied.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("words").alias("words")))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     some = rows.join(shared, "key").join(copied.select("doc_id"), "doc_id", "left_anti")
     some = materialize(some)
@@ -202,23 +202,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos + start).astype(np.int32)), pa.array((last + stop).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
 
     spans = seen.join(first, ["key", "content"]).where("doc_id <> first").mapInArrow(compare, "doc_id long, start int, stop int, first long")
-    whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(-1).alias("stop"), "first")
+    whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"), "first")
     made = materialize(spans.unionAll(whole))
     release(seen, copied)
-    return made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
+    grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [merge_spans([(x["start"], x["stop"], x["first"]) for x in at]) for at in b.column("at").to_pylist()]
+            full = [i for i, g in enumerate(got) if g]
+            spans_of = pa.array([[{"start": a, "stop": z, "first": d} for a, z, d in got[i]] for i in full], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(full, pa.int64())), spans_of], ["doc_id", "at"])
+
+    return grouped.mapInArrow(merge, "doc_id long, at array<struct<start:int,stop:int,first:long>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col without its repeated passages, and n_removed (passages), removed_words, firsts (documents that keep them).
+    """docs with text_col without its repeated passages, and n_removed (passages), removed_words, firsts (documents that keep them), class_id (smallest id that removals join, the own id for all others).
 
     A document that copies an earlier one of at least MIN_WORDS words becomes empty.  The earliest document (smallest id) keeps
     a passage, even where it holds it twice; texts of fewer than MIN_WORDS words are never touched; null texts stay
     null; rows without an id keep their text; repeated rows of one id are cut alike.
     """
-    spans = repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()))
+    spans = materialize(repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())))
+    edges = spans.select(F.col("doc_id").alias("a"), F.explode("at").alias("x")).select("a", F.col("x.first").alias("b"))
+    classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
+    # places and classes are narrow; the texts meet them once
+    about = spans.join(classes, "doc_id", "full")
     named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     i_id, i_text = docs.columns.index(id_col), docs.columns.index(text_col)
-    j = named.join(spans, F.col(f"_c{i_id}") == F.col("doc_id"), "left").drop("doc_id")
+    j = named.join(about, F.col(f"_c{i_id}") == F.col("doc_id"), "left").drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,16 +239,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = batch.column("at").to_pylist()
             texts, count, words, firsts = col.to_pylist(), [], [], []
             for k, spans_of in enumerate(at):
-                if not spans_of or texts[k] is None:
-                    count.append(0)
-                    words.append(0)
-                    firsts.append([])
-                    continue
-                raw = texts[k].encode()
-                w = Words([raw])
-                n = len(w.starts)
-                kept = merge_spans([(max(0, s["start"]), n if s["stop"] < 0 else min(n, s["stop"]), s["first"]) for s in spans_of])
-                texts[k] = cut_words(raw, kept, w.starts, w.ends).decode("utf-8", "replace")
+                kept: list[tuple[int, int, int]] = []
+                if spans_of and texts[k] is not None:
+                    raw = texts[k].encode()
+                    starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
+                    kept = [(x["start"], min(x["stop"], len(starts)), x["first"]) for x in spans_of if x["start"] < len(starts)]
+                    texts[k] = cut_words(raw, kept, starts, ends).decode("utf-8", "replace")
                 count.append(len(kept))
                 words.append(sum(b - a for a, b, _ in kept))
                 firsts.append(sorted({d for _, _, d in kept}))
@@ -244,11 +253,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int32()), pa.array(words, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*[c for c in batch.schema.names if c != "at"], "_n", "_w", "_f"])
 
     types = dict(named.dtypes)
-    out = j.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in named.columns) + ", _n int, _w long, _f array<long>")
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("_n").alias("n_removed"), F.col("_w").alias("removed_words"), F.col("_f").alias("firsts"))
-
-
-def repeat_classes(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, class_id): the smallest id among the documents that removals join, the own id for all others."""
-    edges = cut.where("n_removed > 0").select(F.col(id_col).alias("a"), F.explode("firsts").alias("b"))
-    return components(edges).select(F.col("node").alias(id_col), F.col("component").alias("class_id"))
+    out = j.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in named.columns) + ", class_id long, _n int, _w long, _f array<long>")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("_n").alias("n_removed"), F.col("_w").alias("removed_words"), F.col("_f").alias("firsts"), F.coalesce("class_id", F.col(f"_c{i_id}")).cast("long").alias("class_id"))
