@@ -5,8 +5,11 @@ within a sliding window of WINDOW shingles, so that a passage of more than 50 wo
 one whole paragraph wherever it stands.  A paragraph's band key is made of MinHash values of its
 shingles (the smallest hash of one function is the anchor itself); paragraphs overlap, so a passage
 has several bands.  Paragraphs of one key are verified by exact Jaccard similarity against the
-earliest like them, grown word by word to where the texts part, and runs of at least MIN_WORDS words
-are removed from all but the earliest document.  Documents joined by removals form components.
+earliest like them and grown word by word to where the texts part.  Windows of MIN_WORDS words that
+reach beyond that, because the earliest holds only part of a passage, meet their own earliest holder
+by a hash of all their words: each belongs to the one paragraph that its words select, so that all
+its holders ask the same question.  Runs of at least MIN_WORDS words are removed from all but the
+earliest document.  Documents joined by removals form components.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 2
 SPAN = CONTEXT + PARAGRAPH + CONTEXT
 
 
-def anchors(s: np.ndarray, words: int) -> np.ndarray:
-    """Places of paragraphs among the shingle hashes s of a text of so many words."""
+def anchors(s: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of paragraphs among the shingle hashes s of a text of so many words, and first and last place of the windows that select each."""
     n = words - SHINGLE + 1
     if words < PARAGRAPH:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     if n <= WINDOW:
-        at = np.array([int(s[:n].argmin())])
+        of = np.array([int(s[:n].argmin())])
     else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(s[:n], WINDOW).argmin(1) + np.arange(n - WINDOW + 1))
-    return at[at + PARAGRAPH <= words]
+        of = np.lib.stride_tricks.sliding_window_view(s[:n], WINDOW).argmin(1) + np.arange(n - WINDOW + 1)
+    at, low, count = np.unique(of, return_index=True, return_counts=True)
+    ok = at + PARAGRAPH <= words
+    return at[ok], low[ok], (low + count - 1)[ok]
 
 
 def paragraph_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -51,20 +56,29 @@ def runs(h: np.ndarray, key: np.ndarray, at: np.ndarray, text: np.ndarray) -> tu
     if len(maybe):
         words = np.arange(PARAGRAPH)
         same[maybe] = (h[at[maybe][:, None] + words] == h[at[maybe + 1][:, None] + words]).all(1)
+    # a stretch of fewer than MIN_WORDS words is no passage by itself: its paragraphs stay apart, with their own windows
+    a, b = np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
+    for x, y in zip(a.tolist(), b.tolist()):
+        if x < y and at[y] - at[x] + PARAGRAPH < MIN_WORDS:
+            same[x:y] = False
     return np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, last): every paragraph; neighbours of the same words are one row, from pos to last."""
+    """(key, doc_id, pos, last, own): every paragraph; neighbours of the same words are one row, from pos to last.
+
+    own: how far before pos the first and the last of the windows begin that select the paragraph, as 32 * first + last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 w = Words(texts)
-                s, got = w.shingles(SHINGLE), []
+                s, got, owns = w.shingles(SHINGLE), [], []
                 for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist()):
-                    at = anchors(s[a:b], b - a)
+                    at, low, high = anchors(s[a:b], b - a)
                     got.append(at + a)
+                    owns.append(32 * (at - low) + at - high)
                 if not any(len(g) for g in got):
                     continue
                 flat, text = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
@@ -72,9 +86,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 a, b = runs(w.h, key, flat, text)
                 ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_numpy(zero_copy_only=False)
                 base = w.at[:-1][text[a]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[a].view(np.int64)), pa.array(ids[text[a]].astype(np.int64)), pa.array((flat[a] - base).astype(np.int32)), pa.array((flat[b] - base).astype(np.int32))], ["key", "doc_id", "pos", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a].view(np.int64)), pa.array(ids[text[a]].astype(np.int64)), pa.array((flat[a] - base).astype(np.int32)), pa.array((flat[b] - base).astype(np.int32)), pa.array(np.concatenate(owns)[a].astype(np.int16))], ["key", "doc_id", "pos", "last", "own"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int, last int")
+    return docs.mapInArrow(run, "key long, doc_id long, pos int, last int, own short")
 
 
 def paragraph_contents(h: np.ndarray) -> np.ndarray:
@@ -86,13 +100,13 @@ def paragraph_contents(h: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(key, content, doc_id, pos, last, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words, CONTEXT words before pos and as many after the last."""
+    """(key, content, doc_id, pos, last, own, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words, CONTEXT words before pos and as many after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_chunks(batch):
                 w = Words(some)
-                keys, contents, ids, poss, lasts, raw = [], [], [], [], [], []
+                keys, contents, ids, poss, lasts, owns, raw = [], [], [], [], [], [], []
                 content = paragraph_contents(w.h)
                 for doc, at, a, b in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), batch.column("at")[part.start : part.stop].to_pylist(), w.at[:-1].tolist(), w.at[1:].tolist()):
                     h = np.zeros(b - a + 2 * CONTEXT, np.uint16)
@@ -103,11 +117,12 @@ def contexts(texts: DataFrame) -> DataFrame:
                         poss.append(x["pos"])
                         contents.append(content[a + x["pos"]])
                         lasts.append(x["last"])
+                        owns.append(x["own"])
                         tail = x["last"] + CONTEXT + PARAGRAPH
                         raw.append(h[x["pos"] : x["pos"] + CONTEXT + PARAGRAPH].tobytes() + h[tail : tail + CONTEXT].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(lasts, pa.int32()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "last", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(lasts, pa.int32()), pa.array(owns, pa.int16()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "last", "own", "words"])
 
-    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, last int, words binary")
+    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, last int, own short, words binary")
 
 
 def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -134,7 +149,7 @@ def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
             else:
                 held.append((r, own))
     at = pa.array(lead)
-    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("content").combine_chunks(), t.column("doc_id").combine_chunks().take(at), words.combine_chunks().take(at)], ["key", "content", "first", "first_words"])
+    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("content").combine_chunks(), t.column("doc_id").combine_chunks().take(at), t.column("pos").combine_chunks().take(at), words.combine_chunks().take(at)], ["key", "content", "first", "first_pos", "first_words"])
 
 
 def matched(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +165,18 @@ def matched(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lead - left, PARAGRAPH - trail + right
 
 
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """Per row of SPAN word hashes the hashes of the MIN_WORDS words from each place 0 to CONTEXT on; 0 where the text doesn't hold so many."""
+    power = np.multiply.accumulate(np.full(SPAN + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.zeros((len(words), SPAN + 1), np.uint64)
+    np.cumsum(mix64(words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * power[:-1], axis=1, out=sums[:, 1:])
+    empty = np.zeros((len(words), SPAN + 1), np.int16)
+    np.cumsum(words == 0, axis=1, out=empty[:, 1:])
+    n = SPAN - MIN_WORDS + 1
+    h = mix64((sums[:, MIN_WORDS:] - sums[:, :n]) * power[::-1][:n])
+    return np.where(empty[:, MIN_WORDS:] == empty[:, :n], h | np.uint64(1), np.uint64(0)).view(np.int64)
+
+
 def merge_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Join overlapping or nearly touching (start, stop, first document) spans and keep those of MIN_WORDS words or more."""
     out: list[list[int]] = []
@@ -184,13 +211,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     some = materialize(some)
     release(rows)
     still = some.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "last")).alias("at"))
+    listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "last", "own")).alias("at"))
     own = docs.select("doc_id", "text").join(listed, "doc_id")
     seen = materialize(contexts(own))
     release(some)
     # a paragraph's content occurs once here, however many documents hold it
     contents = seen.groupBy("key", "content").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f")).select("key", "content", "f.*")
-    first = map_groups(contents, ["key"], leaders, "key long, content long, first long, first_words binary", by=["doc_id", "pos", "content"])
+    first = map_groups(contents, ["key"], leaders, "key long, content long, first long, first_pos int, first_words binary", by=["doc_id", "pos", "content"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,13 +225,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SPAN) for c in ("words", "first_words"))
             start, stop = matched(x, y)
-            pos, last = b.column("pos").to_numpy(), b.column("last").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((pos + start).astype(np.int32)), pa.array((last + stop).astype(np.int32)), b.column("first")], ["doc_id", "start", "stop", "first"])
-
-    spans = seen.join(first, ["key", "content"]).where("doc_id <> first").mapInArrow(compare, "doc_id long, start int, stop int, first long")
+            doc, pos, last, first, own = (b.column(c).to_numpy() for c in ("doc_id", "pos", "last", "first", "own"))
+            other = doc != first
+            yield rows_of(doc[other], (pos + start)[other], (last + stop)[other], first[other], None)
+            # windows that the first one doesn't hold whole; a long stretch of equal paragraphs is a passage by itself
+            back = CONTEXT - np.arange(CONTEXT + 1)
+            h = window_hashes(x)
+            lost = (h != 0) & (back <= (own >> 5)[:, None]) & (back >= (own & 31)[:, None]) & ((start[:, None] > -back) | (stop[:, None] < MIN_WORDS - back)) & (pos == last)[:, None]
+            r, c = np.nonzero(lost)
+            at = pos[r] - back[c]
+            yield rows_of(doc[r], at, at + MIN_WORDS, None, h[r, c])
+
+    def rows_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray | None, h: np.ndarray | None) -> pa.RecordBatch:
+        long = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (first, h)]
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *long], ["doc_id", "start", "stop", "first", "h"])
+
+    both = materialize(seen.join(first, ["key", "content"]).where("doc_id <> first OR pos <> first_pos").mapInArrow(compare, "doc_id long, start int, stop int, first long, h long"))
+    release(seen)
+    spans = both.where("first IS NOT NULL").select("doc_id", "start", "stop", "first")
+    open_ = both.where("h IS NOT NULL")
+    holders = open_.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("y")).where("first <> y").select("h", "first")
+    later = open_.select("h", "doc_id", "start", "stop").join(holders, "h").where("doc_id <> first").select("doc_id", "start", "stop", "first")
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"), "first")
-    made = materialize(spans.unionAll(whole))
-    release(seen, copied)
+    made = materialize(spans.unionAll(later).unionAll(whole))
+    release(both, copied)
     grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

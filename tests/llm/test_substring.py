@@ -85,3 +85,22 @@ def test_a_phrase_repeated_within_and_across_documents(spark, docs):
     assert got[0].text == rows[0][1]
     for i in (1, 2):
         assert got[i].n_removed == 1 and 60 <= len(got[i].text.split()) <= 62 and got[i].firsts == [0]
+
+
+def test_an_earlier_document_holds_part_of_a_passage(spark, docs):
+    rng = random.Random(19)
+    rows, want = [], {}
+    for k in range(40):
+        p = words(rng, rng.choice([51, 55, 60, 75]))
+        a = rng.randrange(0, len(p) - 46)
+        part = p[a : a + rng.randrange(26, 47)]
+        first = words(rng, 30) + part + words(rng, 30)
+        if k % 4 == 0:  # the first document itself holds the part and then the whole
+            first += p + words(rng, 30)
+        own = [words(rng, 30) for _ in range(4)]
+        rows += [(10 * k + 1, " ".join(first), "s"), (10 * k + 5, " ".join(own[0] + p + own[1]), "s"), (10 * k + 9, " ".join(own[2] + p + own[3]), "s")]
+        want[10 * k + 9] = own[2] + own[3]
+        want[10 * k + 5] = own[0] + own[1] if k % 4 == 0 else own[0] + p + own[1]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs(rows)).collect()}
+    assert {i: got[i].text.split() for i in want} == want
+    assert all(got[i].text == t for i, t, _ in rows if i % 10 == 1)
