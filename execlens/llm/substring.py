@@ -177,18 +177,42 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return np.where(empty[:, MIN_WORDS:] == empty[:, :n], h | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def merge_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Join overlapping or nearly touching (start, stop, first document) spans and keep those of MIN_WORDS words or more."""
-    out: list[list[int]] = []
-    for a, b, d in sorted(spans):
-        if out and a <= out[-1][1] + BRIDGE:
-            out[-1][1], out[-1][2] = max(out[-1][1], b), min(out[-1][2], d)
+def merge_spans(spans: list[tuple[int, int, int, int | None]]) -> list[tuple[int, int, list[int]]]:
+    """(start, stop, first documents) of what is to be cut, from (start, stop, first document, how far on its words are there).
+
+    Spans join where they overlap or nearly touch both here and in the one first document (None: a stretch of equal
+    paragraphs, which has no one place there), and MIN_WORDS counts for each of them; what overlaps is cut as one.
+    """
+    chains: list[list] = []
+    alive: dict[int, list[list]] = {}
+    for a, b, d, off in sorted(spans, key=lambda x: (x[0], x[1], x[2], x[3] is None, x[3] or 0)):
+        near = [c for c in alive.get(d, ()) if a <= c[1] + BRIDGE]
+        c = next((c for c in near if off is None or c[3] is None or abs(off - c[3]) <= BRIDGE), None)
+        if c is None:
+            c = [a, b, d, off]
+            chains.append(c)
+            near.append(c)
+        else:
+            c[1] = max(c[1], b)
+            c[3] = c[3] if off is None else off
+        alive[d] = near
+    out: list[tuple[int, int, set[int]]] = []
+    held: list[list] = []
+    for c in sorted((c for c in chains if c[1] - c[0] >= MIN_WORDS), key=lambda c: (c[0], -c[1], c[2])):
+        a, b, d, _ = c
+        # what lies within an earlier document's passage is that document's; d is joined to it by itself
+        held = [x for x in held if x[1] > a]
+        if any(x[1] >= b and x[2] < d for x in held):
+            continue
+        held.append(c)
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b), out[-1][2] | {d}
         else:
-            out.append([a, b, d])
-    return [tuple(x) for x in out if x[1] - x[0] >= MIN_WORDS]
+            out.append((a, b, {d}))
+    return [(a, b, sorted(d)) for a, b, d in out]
 
 
-def cut_words(text: bytes, spans: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> bytes:
+def cut_words(text: bytes, spans: list[tuple[int, int, list[int]]], starts: np.ndarray, ends: np.ndarray) -> bytes:
     """text without the words of the spans, and without the white space after them."""
     out, at = [], 0
     for a, b, _ in spans:
@@ -200,7 +224,7 @@ def cut_words(text: bytes, spans: list[tuple[int, int, int]], starts: np.ndarray
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at: array of (start, stop, first)) for documents that repeat an earlier one's paragraphs, in word places."""
+    """(doc_id, at: array of (start, stop, firsts)) for documents that repeat an earlier one's paragraphs, in word places."""
     rows = materialize(paragraphs(docs))
     # copies of one text repeat it as a whole and need no paragraphs
     copies = docs.where(F.octet_length("text") > 0).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -227,38 +251,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             start, stop = matched(x, y)
             doc, pos, last, first, own = (b.column(c).to_numpy() for c in ("doc_id", "pos", "last", "first", "own"))
             other = doc != first
-            yield rows_of(doc[other], (pos + start)[other], (last + stop)[other], first[other], None)
+            off = pa.array(b.column("first_pos").to_numpy() - pos, mask=pos != last)
+            yield rows_of(doc[other], (pos + start)[other], (last + stop)[other], first[other], None, off.filter(pa.array(other)))
             # windows that the first one doesn't hold whole; a long stretch of equal paragraphs is a passage by itself
             back = CONTEXT - np.arange(CONTEXT + 1)
             h = window_hashes(x)
             lost = (h != 0) & (back <= (own >> 5)[:, None]) & (back >= (own & 31)[:, None]) & ((start[:, None] > -back) | (stop[:, None] < MIN_WORDS - back)) & (pos == last)[:, None]
             r, c = np.nonzero(lost)
             at = pos[r] - back[c]
-            yield rows_of(doc[r], at, at + MIN_WORDS, None, h[r, c])
+            yield rows_of(doc[r], at, at + MIN_WORDS, None, h[r, c], pa.nulls(len(r), pa.int32()))
 
-    def rows_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray | None, h: np.ndarray | None) -> pa.RecordBatch:
+    def rows_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray | None, h: np.ndarray | None, off: pa.Array) -> pa.RecordBatch:
         long = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (first, h)]
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *long], ["doc_id", "start", "stop", "first", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *long, off.cast(pa.int32())], ["doc_id", "start", "stop", "first", "h", "off"])
 
-    both = materialize(seen.join(first, ["key", "content"]).where("doc_id <> first OR pos <> first_pos").mapInArrow(compare, "doc_id long, start int, stop int, first long, h long"))
+    both = materialize(seen.join(first, ["key", "content"]).where("doc_id <> first OR pos <> first_pos").mapInArrow(compare, "doc_id long, start int, stop int, first long, h long, off int"))
     release(seen)
-    spans = both.where("first IS NOT NULL").select("doc_id", "start", "stop", "first")
+    spans = both.where("first IS NOT NULL").select("doc_id", "start", "stop", "first", "off")
     open_ = both.where("h IS NOT NULL")
-    holders = open_.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("y")).where("first <> y").select("h", "first")
-    later = open_.select("h", "doc_id", "start", "stop").join(holders, "h").where("doc_id <> first").select("doc_id", "start", "stop", "first")
-    whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"), "first")
+    holders = open_.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("y")).where("f.doc_id <> y").select("h", F.col("f.doc_id").alias("first"), F.col("f.start").alias("at"))
+    later = open_.select("h", "doc_id", "start", "stop").join(holders, "h").where("doc_id <> first").select("doc_id", "start", "stop", "first", (F.col("at") - F.col("start")).alias("off"))
+    whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"), "first", F.lit(0).alias("off"))
     made = materialize(spans.unionAll(later).unionAll(whole))
     release(both, copied)
-    grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("at"))
+    grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first", "off"))).alias("at"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [merge_spans([(x["start"], x["stop"], x["first"]) for x in at]) for at in b.column("at").to_pylist()]
+            got = [merge_spans([(x["start"], x["stop"], x["first"], x["off"]) for x in at]) for at in b.column("at").to_pylist()]
             full = [i for i, g in enumerate(got) if g]
-            spans_of = pa.array([[{"start": a, "stop": z, "first": d} for a, z, d in got[i]] for i in full], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64())])))
+            spans_of = pa.array([[{"start": a, "stop": z, "firsts": d} for a, z, d in got[i]] for i in full], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("firsts", pa.list_(pa.int64()))])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(full, pa.int64())), spans_of], ["doc_id", "at"])
 
-    return grouped.mapInArrow(merge, "doc_id long, at array<struct<start:int,stop:int,first:long>>")
+    return grouped.mapInArrow(merge, "doc_id long, at array<struct<start:int,stop:int,firsts:array<long>>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null; rows without an id keep their text; repeated rows of one id are cut alike.
     """
     spans = materialize(repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())))
-    edges = spans.select(F.col("doc_id").alias("a"), F.explode("at").alias("x")).select("a", F.col("x.first").alias("b"))
+    edges = spans.select(F.col("doc_id").alias("a"), F.explode(F.flatten("at.firsts")).alias("b"))
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     # places and classes are narrow; the texts meet them once
     about = spans.join(classes, "doc_id", "full")
@@ -283,15 +308,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = batch.column("at").to_pylist()
             texts, count, words, firsts = col.to_pylist(), [], [], []
             for k, spans_of in enumerate(at):
-                kept: list[tuple[int, int, int]] = []
+                kept: list[tuple[int, int, list[int]]] = []
                 if spans_of and texts[k] is not None:
                     raw = texts[k].encode()
                     starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
-                    kept = [(x["start"], min(x["stop"], len(starts)), x["first"]) for x in spans_of if x["start"] < len(starts)]
+                    kept = [(x["start"], min(x["stop"], len(starts)), x["firsts"]) for x in spans_of if x["start"] < len(starts)]
                     texts[k] = cut_words(raw, kept, starts, ends).decode("utf-8", "replace")
                 count.append(len(kept))
                 words.append(sum(b - a for a, b, _ in kept))
-                firsts.append(sorted({d for _, _, d in kept}))
+                firsts.append(sorted({d for _, _, ds in kept for d in ds}))
             arrays = [batch.column(c) for c in batch.schema.names if c != "at"]
             arrays[i_text] = pa.array(texts, col.type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int32()), pa.array(words, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*[c for c in batch.schema.names if c != "at"], "_n", "_w", "_f"])

@@ -99,8 +99,24 @@ def test_an_earlier_document_holds_part_of_a_passage(spark, docs):
             first += p + words(rng, 30)
         own = [words(rng, 30) for _ in range(4)]
         rows += [(10 * k + 1, " ".join(first), "s"), (10 * k + 5, " ".join(own[0] + p + own[1]), "s"), (10 * k + 9, " ".join(own[2] + p + own[3]), "s")]
-        want[10 * k + 9] = own[2] + own[3]
-        want[10 * k + 5] = own[0] + own[1] if k % 4 == 0 else own[0] + p + own[1]
+        want[10 * k + 9] = (own[2] + own[3], [10 * k + (1 if k % 4 == 0 else 5)])
+        want[10 * k + 5] = (own[0] + own[1], [10 * k + 1]) if k % 4 == 0 else (own[0] + p + own[1], [])
     got = {r.doc_id: r for r in substring.remove_repeats(docs(rows)).collect()}
-    assert {i: got[i].text.split() for i in want} == want
+    assert {i: (got[i].text.split(), got[i].firsts) for i in want} == want
     assert all(got[i].text == t for i, t, _ in rows if i % 10 == 1)
+
+
+def test_shares_of_different_documents_next_to_each_other(spark, docs):
+    rng = random.Random(23)
+    a, b, c, d = (words(rng, n) for n in (60, 70, 30, 30))
+    own = [words(rng, 40) for _ in range(10)]
+    rows = [
+        (3, own[0] + a + own[1]), (7, own[2] + b + own[3]), (9, own[4] + a + b + own[5]),  # a passage each of two documents
+        (13, own[6] + c + own[7]), (17, own[8] + d + own[9]), (19, own[0][:20] + c + d + own[1][:20]),  # two short shares
+        (21, c + own[2][:30] + d), (29, own[3][:20] + c + d + own[4][:20]),  # 19 and 29 share c + d; nobody shares c + d with 21
+    ]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs([(i, " ".join(w), "s") for i, w in rows])).collect()}
+    assert got[9].text.split() == own[4] + own[5] and got[9].firsts == [3, 7] and got[9].removed_words == 130
+    assert got[3].class_id == got[7].class_id == got[9].class_id == 3
+    assert got[19].text.split() == dict(rows)[19] and got[21].n_removed == 0
+    assert got[29].text.split() == own[3][:20] + own[4][:20] and got[29].firsts == [19]
