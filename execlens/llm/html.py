@@ -173,29 +173,42 @@ def main_path(path: tuple[str, ...], fallback: str | None) -> bool:
     if fallback is None:
         return False
     p = "/".join(path)
-    if not (p == fallback or p.startswith(fallback + "/")):
+    if fallback and not (p == fallback or p.startswith(fallback + "/")):
         return False
     rest = path[len(fallback.split("/")) :] if fallback else path
     return not _away(rest) and not any(SITE_HEADER.search(x) or x.split(".")[0] == "header" for x in rest)
 
 
-def fallback_path(tokens: list[dict]) -> str | None:
-    """For hosts whose template has no article: the deepest element path that holds over half of the text outside boilerplate."""
+def fallback_path(chars: dict[str, int], known: str | None = None) -> str | None:
+    """Where a template or a page has no article: the deepest element path that holds over half of the text outside boilerplate.
+
+    chars has the characters directly within each path.  The known path stays where it holds as much.
+    """
     amount: Counter = Counter()
-    for t in tokens:
-        if t["token"].startswith("="):
-            path = tuple(x for x in t["token"][1:].split("/") if x)
-            if _away(path) or any(x.split(".")[0] == "header" or SITE_HEADER.search(x.partition(".")[2]) for x in path):
-                continue
-            named = 3 if any(MAIN_NAMES.search(x.partition(".")[2]) for x in path) else 1
-            for i in range(len(path) + 1):
-                amount["/".join(path[:i])] += t["chars"] * named
+    for p, n in chars.items():
+        path = tuple(x for x in p.split("/") if x)
+        if _away(path) or any(x.split(".")[0] == "header" or SITE_HEADER.search(x.partition(".")[2]) for x in path):
+            continue
+        named = 3 if any(MAIN_NAMES.search(x.partition(".")[2]) for x in path) else 1
+        for i in range(len(path) + 1):
+            amount["/".join(path[:i])] += n * named
     if not amount.total():
-        return None
+        return known
+    if known is not None and amount[known] > 0.5 * amount[""]:
+        return known
     best = [p for p in amount if amount[p] > 0.5 * amount[""]]
     return max(best, key=lambda p: (p.count("/") + bool(p), amount[p]))
 
 
+def page_path(page: str, known: str) -> str | None:
+    """The page's own content path: that of its host, or another where the page's layout has its text elsewhere."""
+    chars: Counter = Counter()
+    for kind, path, what in walk(page):
+        if kind == "text" and (t := squeeze(what)):
+            chars["/".join(x for x in path if not x.startswith(("span", "a.")) and x != "a")] += len(t)
+    return fallback_path(chars, known)
+
+
 def extract(page: str, skeleton: frozenset[str], fallback: str | None) -> str:
     """Text of the page's slots that belong to the article: blocks in page order, one a line."""
     blocks: list[str] = []
@@ -234,7 +247,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A null html is empty and gives an empty text; pages of a null or odd address share the host "";
     repeated rows give repeated results; an empty table gives no rows.  Where a host's template has
-    no article (or main), the element that holds most of its text outside boilerplate takes its place.
+    no article (or main), the element that holds most of its text outside boilerplate takes its place, and on pages of other
+    layouts, which have their text elsewhere, the one that holds most of the page's.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     made = templates(p.withColumn("row", F.xxhash64("page_id", "url", F.octet_length("html"))))
@@ -246,7 +260,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 article = any(t["once"] and re.search(r"<(?:.*/)?(?:article|main)[^/]*$", t["token"]) for t in tokens)
                 # inside an article a text stays even if all pages share it: it may be the article's own
                 text = [t["token"] for t in tokens if t["once"] and "#" in t["token"] and t["token"] != "#page"] if n >= MIN_PAGES and not article else []
-                rows.append((host, text, None if article else fallback_path(tokens)))
+                rows.append((host, text, None if article else fallback_path({t["token"][1:]: t["chars"] for t in tokens if t["token"].startswith("=")})))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string())], ["t_host", "skeleton", "fallback"])
 
     small = made.mapInArrow(digest, "t_host string, skeleton array<string>, fallback string")
@@ -256,7 +270,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [extract(page or "", frozenset(s or ()), f) for page, s, f in zip(b.column("html").to_pylist(), b.column("skeleton").to_pylist(), b.column("fallback").to_pylist())]
+            out = [extract(page or "", frozenset(s or ()), f if f is None else page_path(page or "", f)) for page, s, f in zip(b.column("html").to_pylist(), b.column("skeleton").to_pylist(), b.column("fallback").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(p.dtypes)["page_id"]

@@ -50,3 +50,12 @@ def test_odd_rows(spark):
     assert {r.page_id: r.text for r in got}[5] == "" and {r.page_id: r.text for r in got}[6] == "open"
     assert html.main_text(spark.createDataFrame([], PAGES)).collect() == []
     assert [html.host_of(u) for u in ("https://U:p@A.b:8/x", "nope", None, "//x/y", "ftp://c")] == ["a.b", "", "", "", "c"]
+
+
+def test_a_host_of_two_layouts(spark):
+    text = lambda i: f"Story {i} begins here. " + f"Sentence {i} goes on. " * 20
+    page = lambda i, a, x: f"<html><body><div class=nav>Home</div><div class={a}><div class={x}><p>{text(i)}</p></div></div></body></html>"
+    rows = [(i, None if i >= 20 else f"http://h.test/{i}", page(i, *(("a", "x") if i % 5 < 3 else ("b", "y")))) for i in range(30)]
+    rows.append((30, "http://parts.test/", f"<div class=m><p>{text(30)}</p></div><div class=n><p>{text(31)}</p></div>"))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text(i).strip() for i in range(30)} | {30: text(30).strip() + "\n" + text(31).strip()}
