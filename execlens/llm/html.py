@@ -35,8 +35,9 @@ SITE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-header|page-header)
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|responses)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post|post-content|entry|entry-content|story|story-body|content|main|maincontent|main-content)(?:$|[\s_-])", re.I)
 
+# a self-closed raw element holds nothing, and of those without an end tag only three hide the rest of the page
 PIECES = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?:\s[^>]*)?>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?:\s[^>]*)?(?<!/)>.*?</(?P=raw)\s*>|<(?:script|style|textarea)(?:\s[^>]*)?(?<!/)>.*$|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)

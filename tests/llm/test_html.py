@@ -59,3 +59,12 @@ def test_a_host_of_two_layouts(spark):
     rows.append((30, "http://parts.test/", f"<div class=m><p>{text(30)}</p></div><div class=n><p>{text(31)}</p></div>"))
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: text(i).strip() for i in range(30)} | {30: text(30).strip() + "\n" + text(31).strip()}
+
+
+def test_raw_elements_that_hold_nothing_or_never_end():
+    got = lambda body: html.extract(f"<article>{body}</article>", frozenset(), None)
+    for x in ('<svg class="i" />', "<math/>", "<iframe src='a' />", "<svg><path d='M0'/></svg>", "<button>Press</button>"):
+        assert got(f"<p>One {x}two</p><p>three</p>") == "One two\nthree"
+    for x in ("button", "object", "audio controls", "video", "canvas"):
+        assert got(f"<p>One <{x}>two</p><p>three</p>") == "One two\nthree"
+    assert got("<p>One</p><script>var a = '<p>';") == got("<p>One</p><style>p {}") == "One"
