@@ -1,6 +1,7 @@
 """Operators on small fixtures: zero fill, ties, nulls, unknowns, and replays against plain Python."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -167,3 +168,20 @@ def test_folds(spark):
     assert {i for i, _ in rows(fold.terminal_mismatch(ex, ob, ["dead"]))} == {"b", "c", "d", "e", "z"}
     lease = spark.createDataFrame([("a", "leased", 1, 5.0), ("b", "running", 3, 5.0), ("c", "running", 1, 50.0)], "id string, state string, attempt int, lease_expires_at double")
     assert rows(fold.reap(lease, F.lit(10.0), 2, 2, 60, 3).select("id", "next_state", "next_attempt_at")) == [("a", "queued", 12.0), ("b", "dead", None)]
+
+
+def test_revision_impact_covers_all_ids(spark, sf_dir):
+    from execlens.plans import load
+    from execlens.plans import views as V
+    from execlens.plans.catalog import QUERIES
+
+    load()
+    sf_dir = str(Path(sf_dir).parent / "sf0.01")  # the smallest tables have no ids of 4000 or more
+    ids = {r[0] for r in V.executions(spark, sf_dir).select("execution_id").collect()}
+    hit = {i for i in ids if i % 97 == 0 or i % 501 == 0 or i == 1234}
+    want = set(hit)
+    for i in sorted(ids - {0}):
+        if i // 2 in want:
+            want.add(i)
+    got = {r.task_id for r in QUERIES["gra05_revision_impact"](spark, sf_dir).collect()}
+    assert max(ids) >= 4000 and got >= {i for i in want if i >= 4000} and {i for i in hit if i >= 4000} <= got
