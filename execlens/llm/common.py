@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,36 +24,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is unset, as in tests on one machine, a temporary folder takes its place.
+    Where the setting is unset, a temporary folder takes its place if driver and executors are one
+    process, as in tests; on a cluster this is an error, since no other machine sees such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             base = "file://" + tempfile.mkdtemp(prefix="execlens-")
-            spark.sparkContext.setCheckpointDir(base)
+            sc.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/execlens-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run within have their shuffle files deleted when they end, instead of when the JVM next collects garbage."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete materialized tables whose rows have gone into later ones, and let Spark drop shuffles that nothing refers to."""
+    """Delete materialized tables whose rows have gone into later ones."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    SparkSession.active().sparkContext._jvm.System.gc()
+
+
+def join_hot(rows: DataFrame, about: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of rows with about, which has one row per key and in column n how many of rows hold it; total: rows at most.
+
+    Keys of more than 1/HOT_KEYS of the total are fewer than HOT_KEYS, whatever the input's size, so
+    their rows of about are broadcast and the rows of a hot key stay spread; all others are shuffled.
+    """
+    hot = F.col("n") > F.lit(total / HOT_KEYS)
+    some = F.broadcast(about.where(hot))
+    return rows.join(some, on).unionByName(rows.join(F.broadcast(about.where(hot).select(*on)), on, "left_anti").join(about.where(~hot), on))
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, by: list[str] | None = None) -> DataFrame:
@@ -99,23 +130,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps (both keep connectivity and move edges to smaller
     nodes) until nothing changes; the rounds grow with the logarithm of the longest path.  Every
-    step is an aggregate and a join; each round is written to shared storage.
+    step is an aggregate and a join, in which the edges of a hub stay spread over tasks; each round
+    is written to shared storage.
     """
+    spark = edges.sparkSession
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
 
     def state(x: DataFrame):
-        r = x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        with dropping_shuffles(spark):
+            r = x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         return r["n"], r["h"]
 
     was = state(e)
     while was[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
-        e = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, low, ["u"], 2 * was[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, ["u"], was[0]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        before, e = e, materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         now = state(e)
+        release(before)
         if now == was:
             break
         was = now
