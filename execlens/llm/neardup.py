@@ -10,31 +10,55 @@ sets, block by block, and every pair that isn't pruned is verified exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma
+from math import ceil, lgamma, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, deal, group_starts, index_pairs, join_labels
-from .common import components, map_groups, materialize
+from .common import components, join_hot, map_groups, materialize, release
 from .textops import Words, mix64, text_chunks
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 4
-HASHES, STEP, TOLERANCE = BANDS * ROWS, 16, 1e-6
+STEP, TOLERANCE = 16, 1e-6
 BLOCK_SHINGLES = 1 << 20
+MAX_HASHES = 256
 _rng = np.random.default_rng(41)
-_MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_MUL = (_rng.integers(0, 1 << 31, MAX_HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, MAX_HASHES, dtype=np.uint32)
 
 
-def minhashes(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+class Bands(NamedTuple):
+    """A banding: a pair of similarity s meets in a band with probability 1 - (1 - s ** rows) ** bands."""
+
+    bands: int
+    rows: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+    def recall(self, similarity: float) -> float:
+        return 1 - (1 - similarity**self.rows) ** self.bands
+
+
+def tuned_bands(threshold: float, recall: float, rows: int) -> Bands:
+    """The fewest bands of so many rows that find a pair at the threshold with at least the probability recall."""
+    return Bands(ceil(log(1 - recall) / log(1 - threshold**rows)), rows)
+
+
+#: Missed at the threshold: 3e-5.
+DOCUMENTS = Bands(20, 4)
+
+
+def minhashes(sets: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
     """MinHash values (one row per set) of shingle sets that lie end to end; no set is empty."""
     x = (sets >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), HASHES), np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(starts), hashes), np.uint32)
+    for k in range(hashes):
         y = x * _MUL[k]
         y += _ADD[k]
         out[:, k] = np.minimum.reduceat(y, starts)
@@ -47,41 +71,48 @@ def posterior(matches: int, n: int, threshold: float) -> float:
     return float(np.exp([log(k) for k in range(matches + 1)]).sum())
 
 
-def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
+def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = DOCUMENTS.hashes) -> dict[int, int]:
     """After each step's number of values, the fewest matches that keep a pair."""
-    return {n: next(m for m in range(n + 1) if posterior(m, n, threshold) >= tolerance) for n in range(STEP, HASHES + 1, STEP)}
+    steps = [*range(STEP, hashes, STEP), hashes]
+    return {n: next(m for m in range(n + 1) if posterior(m, n, threshold) >= tolerance) for n in steps}
 
 
 def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, need: dict[int, int]) -> np.ndarray:
-    """Which pairs outlast the comparison of their MinHash values, STEP at a time."""
-    alive = np.arange(len(i))
+    """Which pairs outlast the comparison of their MinHash values, a step at a time."""
+    alive, at = np.arange(len(i)), 0
     m = np.zeros(len(i), np.int16)
-    for at in range(0, HASHES, STEP):
-        m[alive] += (sig[i[alive], at : at + STEP] == sig[j[alive], at : at + STEP]).sum(1).astype(np.int16)
-        alive = alive[m[alive] >= need[at + STEP]]
+    for upto, least in need.items():
+        m[alive] += (sig[i[alive], at:upto] == sig[j[alive], at:upto]).sum(1).astype(np.int16)
+        alive, at = alive[m[alive] >= least], upto
     out = np.zeros(len(i), bool)
     out[alive] = True
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, size, sig) of each text with words: two hashes of its shingle set, and its MinHash values."""
+def signatures(rows: DataFrame, ids: list[str], plan: Bands) -> DataFrame:
+    """(ids, lo, hi, size, sig) of each text: two hashes of its shingle set, its size and MinHash values; size 0 where it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 sets = list(Words(texts).sets(SHINGLE))
-                full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-                if not len(full):
-                    continue
-                sets = [sets[i] for i in full]
                 size = np.array([len(s) for s in sets], np.int64)
-                flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
-                lo, hi = np.add.reduceat(mix64(flat), starts), np.bitwise_xor.reduceat(mix64(flat * np.uint64(0x9FB21C651E98DF25)), starts)
-                ids = batch.column("doc_id").slice(part.start, part.stop - part.start).take(pa.array(full))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(size), _binary(minhashes(flat, starts))], ["doc_id", "lo", "hi", "size", "sig"])
+                full = np.flatnonzero(size)
+                lo, hi, sig = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), plan.hashes), np.uint32)
+                if len(full):
+                    flat = np.concatenate(sets)
+                    starts = (np.cumsum(size) - size)[full]
+                    lo[full], hi[full] = np.add.reduceat(mix64(flat), starts), np.bitwise_xor.reduceat(_second(flat), starts)
+                    sig[full] = minhashes(flat, starts, plan.hashes)
+                own = [batch.column(c).slice(part.start, part.stop - part.start) for c in ids]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(size), _binary(sig)], [*ids, "lo", "hi", "size", "sig"])
+
+    types = dict(rows.dtypes)
+    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ids) + ", lo long, hi long, size long, sig binary")
 
-    return docs.mapInArrow(run, "doc_id long, lo long, hi long, size long, sig binary")
+
+def _second(shingles: np.ndarray) -> np.ndarray:
+    return mix64(shingles * np.uint64(0x9FB21C651E98DF25))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -94,25 +125,25 @@ def _fixed(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, plan: Bands) -> np.ndarray:
     """One 64-bit key per set and band."""
-    out = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.empty((len(sig), plan.bands), np.uint64)
+    for b in range(plan.bands):
         k = np.full(len(sig), b + 1, np.uint64)
-        for r in range(ROWS):
-            k = mix64(k * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, b * ROWS + r].astype(np.uint64))
+        for r in range(plan.rows):
+            k = mix64(k * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, b * plan.rows + r].astype(np.uint64))
         out[:, b] = k
     return out
 
 
-def candidate_edges(classes: DataFrame, need: dict[int, int]) -> DataFrame:
+def candidate_edges(classes: DataFrame, need: dict[int, int], plan: Bands) -> DataFrame:
     """(a, b): edges that connect what banding and pruning leave together; no more than a row per member and task."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                k = band_keys(_fixed(b.column("sig"), np.uint32, HASHES))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], ["key", "rep"])
+                k = band_keys(_fixed(b.column("sig"), np.uint32, plan.hashes), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), plan.bands))], ["key", "rep"])
 
     rows = classes.select("rep", "sig").mapInArrow(bands, "key long, rep long")
     full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -121,7 +152,7 @@ def candidate_edges(classes: DataFrame, need: dict[int, int]) -> DataFrame:
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         lo, hi, own, rep = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep"))
-        sig = _fixed(t.column("sig"), np.uint32, HASHES)
+        sig = _fixed(t.column("sig"), np.uint32, plan.hashes)
         label = np.arange(len(rep))
         for i, j in index_pairs(group_starts(t.column("key").to_numpy(), lo, hi), lo, hi, own):
             ok = prune(sig, i, j, need)
@@ -157,47 +188,52 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return both[place[i], place[j]].astype(np.int64)
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, class_id (smallest id reachable over links), n_links (other rows linked directly), kept (doc_id = class_id).
+def similar_groups(rows: DataFrame, ids: list[str], threshold: float = THRESHOLD, plan: Bands = DOCUMENTS) -> DataFrame:
+    """(ids, least struct of ids, n_links) per row of (ids, text): the least ids that links reach, and the other rows linked directly.
 
-    Two rows are linked when the sets of their five-word shingles have a Jaccard similarity of at least the
-    threshold; words are what lies between white space.  A text of fewer than five words has one
-    shingle, all its words.  Null, empty and blank texts link with nothing; rows without an id are
-    left out; repeated rows count as copies; an empty table gives no rows.
+    ids are longs or integers, none of them null, and needn't be unique.  Rows are linked when the Jaccard
+    similarity of their shingle sets is at least the threshold.
     """
-    need = needed(threshold)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    sigs = materialize(signatures(source))
+    need = needed(threshold, hashes=plan.hashes)
     sets = ["lo", "hi", "size"]
-    classes = materialize(sigs.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-    clusters = components(candidate_edges(classes, need)).select(F.col("node").alias("rep"), "component")
+    # a number of its own for every row: tables once written keep it
+    sigs = materialize(signatures(rows, ids, plan).withColumn("node", F.monotonically_increasing_id()))
+    with_words = sigs.where("size > 0")
+    classes = materialize(with_words.groupBy(*sets).agg(F.min("node").alias("rep"), F.min(F.struct(*ids)).alias("own"), F.count("*").alias("n"), F.first("sig").alias("sig")))
+    clusters = components(candidate_edges(classes, need, plan)).select(F.col("node").alias("rep"), "component")
     members = materialize(clusters.join(classes, "rep"))
     weight = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("k"))
-    # one row per representative with its text, even if its id occurs in several rows
-    texts = source.join(members.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in sets], "component", "copies", "sig"), "doc_id")
+    # one row per class with its text, even if its ids occur in several rows
+    named = members.select(*[F.col(f"own.{c}").alias(c) for c in ids], *[F.col(c).alias(f"_{c}") for c in sets], "component", "rep", F.col("n").alias("copies"), "sig")
+    texts = rows.select(*ids, "text").join(named, ids)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_chunks(batch):
-                rest = batch.slice(part.start, part.stop - part.start).drop_columns(["text"])
+                rest = batch.slice(part.start, part.stop - part.start)
                 own = list(Words(some).sets(SHINGLE))
-                same = np.array([len(s) == n and int(np.bitwise_xor.reduce(mix64(s * np.uint64(0x9FB21C651E98DF25)))) == h % (1 << 64) for s, n, h in zip(own, rest.column("_size").to_pylist(), rest.column("_hi").to_pylist())], bool)
-                out = rest.drop_columns([f"_{c}" for c in sets]).append_column("shingles", pa.array([s.tobytes() for s in own], pa.binary()))
+                lo, hi = (rest.column(c).to_numpy().view(np.uint64) for c in ("_lo", "_hi"))
+                same = [len(s) == n and mix64(s).sum() == a and np.bitwise_xor.reduce(_second(s)) == b for s, n, a, b in zip(own, rest.column("_size").to_pylist(), lo, hi)]
+                out = rest.select(["component", "rep", "copies", "sig"]).append_column("shingles", pa.array([s.tobytes() for s in own], pa.binary()))
                 yield out.filter(pa.array(same))
 
-    made = texts.select("doc_id", "text", "_lo", "_hi", "_size", "component", "copies", "sig").mapInArrow(shingled, "doc_id long, component long, copies long, sig binary, shingles binary")
-    dealt = deal(made.join(weight, "component"), F.col("k"), "doc_id").select("component", "lo", "hi", "own", "doc_id", "copies", "sig", "shingles")
+    made = texts.select("text", *[f"_{c}" for c in sets], "component", "rep", "copies", "sig").mapInArrow(shingled, "component long, rep long, copies long, sig binary, shingles binary")
+    dealt = deal(made.join(weight, "component"), F.col("k"), "rep").select("component", "lo", "hi", "own", "rep", "copies", "sig", "shingles")
 
     def verify(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        lo, hi, own, rep, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "doc_id", "copies"))
-        sig = _fixed(t.column("sig"), np.uint32, HASHES)
+        # a class comes twice where a row is repeated with its id
+        first = np.unique(np.stack([t.column(c).to_numpy() for c in ("component", "lo", "hi", "rep")]), axis=1, return_index=True)[1]
+        if len(first) < t.num_rows:
+            t = t.take(pa.array(np.sort(first)))
+        lo, hi, own, rep, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "copies"))
+        sig = _fixed(t.column("sig"), np.uint32, plan.hashes)
         starts = group_starts(t.column("component").to_numpy(), lo, hi)
         raw = t.column("shingles").combine_chunks()
         own_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
         size = np.array([len(s) for s in own_sets], np.int64)
         label, links = np.arange(len(rep)), np.zeros(len(rep), np.int64)
         for i, j in index_pairs(starts, lo, hi, own):
-            ok = prune(sig, i, j, need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & (rep[i] != rep[j])
+            ok = prune(sig, i, j, need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -213,15 +249,39 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(map_groups(dealt, ["component", "lo", "hi"], verify, "rep long, links long, other long"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = classes.select(*sets, "rep", "copies").join(links, "rep", "left").join(groups, "rep", "left")
-    own = sigs.select("doc_id", *sets).join(about, sets).select("doc_id", F.coalesce("group", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    blank = source.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return own.unionByName(blank).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    # only classes in a group have more to say than their own rows
+    linked = materialize(groups.join(links, "rep").join(members.select("rep", "own"), "rep"))
+    least = linked.groupBy("group").agg(F.min("own").alias("least"), F.count("*").alias("n"))
+    of_group = join_hot(linked.select("rep", "links", "group"), least, ["group"], linked.count()).select("rep", "links", "least")
+    about = materialize(classes.select(*sets, "rep", "n", "own").join(of_group, "rep", "left").select(*sets, "n", F.coalesce("least", "own").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    release(classes, members, found, linked)
+    plain = with_words.select(*ids, *sets)
+    out = join_hot(plain, about, sets, sigs.count()).select(*ids, "least", "n_links")
+    return out.unionByName(sigs.where("size = 0").select(*ids, F.struct(*ids).alias("least"), F.lit(0).cast("long").alias("n_links")))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, class_id (smallest id reachable over links), n_links (other rows linked directly), kept (doc_id = class_id).
+
+    Two rows are linked when the sets of their five-word shingles have a Jaccard similarity of at least the
+    threshold; words are what lies between white space.  A text of fewer than five words has one
+    shingle, all its words.  Null, empty and blank texts link with nothing; rows without an id are
+    left out; repeated rows count as copies; an empty table gives no rows.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    got = similar_groups(source, ["doc_id"], threshold)
+    return got.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links").withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those whose text is linked to one of a smaller id; of equal rows one stays, rows without an id all do."""
+    """The rows of docs without those whose text is linked to one of a smaller id; of rows with equal id and text one stays, rows without an id all do.
+
+    Null, empty and blank texts link with nothing, so all of them stay, once for each id; an empty table gives no rows.
+    """
     gone = jaccard_links(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
     with_id = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-    again = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1)))
-    return with_id.withColumn("_again", again).where("_again = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    # where ids are repeated, which narrow rows tell, the texts of those ids meet once more
+    again = docs.groupBy(F.col(id_col)).agg(F.count("*").alias("_n")).where(F.col(id_col).isNotNull() & (F.col("_n") > 1)).select(id_col)
+    once = with_id.join(again, id_col, "left_anti").select(*docs.columns)
+    twice = with_id.join(again, id_col).withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).select(*docs.columns)
+    return once.unionByName(twice).unionByName(docs.where(F.col(id_col).isNull()))
