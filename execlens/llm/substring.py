@@ -1,15 +1,15 @@
-"""Removal of passages that repeat across documents: paragraph MinHash banding.
-
-A paragraph is a run of PARAGRAPH words that starts where a five-word shingle has the smallest hash
-within a sliding window of WINDOW shingles, so that a passage of more than 50 words holds at least
-one whole paragraph wherever it stands.  A paragraph's band key is made of MinHash values of its
-shingles (the smallest hash of one function is the anchor itself); paragraphs overlap, so a passage
-has several bands.  Paragraphs of one key are verified by exact Jaccard similarity against the
-earliest like them and grown word by word to where the texts part.  Windows of MIN_WORDS words that
-reach beyond that, because the earliest holds only part of a passage, meet their own earliest holder
-by a hash of all their words: each belongs to the one paragraph that its words select, so that all
-its holders ask the same question.  Runs of at least MIN_WORDS words are removed from all but the
-earliest document.  Documents joined by removals form components.
+"""Removal of passages that repeat across documents: paragraph MinHash banding, and repeated windows of words.
+
+Paragraphs are the lines of a text that hold at least MIN_WORDS words.  Their five-word shingle sets
+meet by MinHash bands whose number is tuned to a recall at the threshold; colliding paragraphs are
+verified by exact Jaccard similarity, verified links are joined to components, and all paragraphs of
+a component but those of its earliest document are removed.
+
+A repeated passage may also begin and end anywhere within lines.  So every run of MIN_WORDS words (a
+window) that an earlier document holds is removed, too.  A window is filed under its key, the
+smallest hash of the runs of KEY_WORDS words in it, which all its holders share wherever it stands;
+neighbouring windows of one key make up a span.  Equal spans are told by one hash, so that only
+spans that share a key without being equal, at the ends of passages, list their windows one by one.
 """
 
 from __future__ import annotations
@@ -21,191 +21,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import group_starts
-from .common import WORD, components, map_groups, materialize, release
+from .common import components, join_hot, materialize, release
+from .neardup import THRESHOLD, similar_groups, tuned_bands
 from .textops import Words, mix64, text_chunks, word_bounds
 
-SHINGLE, PARAGRAPH, WINDOW, CONTEXT, MIN_WORDS, BRIDGE, THRESHOLD = 5, 24, 24, 26, 50, 5, 0.8
-SPAN = CONTEXT + PARAGRAPH + CONTEXT
-
-
-def anchors(s: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of paragraphs among the shingle hashes s of a text of so many words, and first and last place of the windows that select each."""
-    n = words - SHINGLE + 1
-    if words < PARAGRAPH:
-        return (np.empty(0, np.int64),) * 3
-    if n <= WINDOW:
-        of = np.array([int(s[:n].argmin())])
-    else:
-        of = np.lib.stride_tricks.sliding_window_view(s[:n], WINDOW).argmin(1) + np.arange(n - WINDOW + 1)
-    at, low, count = np.unique(of, return_index=True, return_counts=True)
-    ok = at + PARAGRAPH <= words
-    return at[ok], low[ok], (low + count - 1)[ok]
-
-
-def paragraph_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Band keys: the anchor, which is the MinHash of its window, and the MinHash of a second function."""
-    own = s[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)]
-    return mix64(s[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(own ^ np.uint64(0x5851F42D4C957F2D)).min(1))
-
-
-def runs(h: np.ndarray, key: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each stretch of neighbouring paragraphs of one text whose words are the same, as in texts that repeat a phrase."""
-    same = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
-    maybe = np.flatnonzero(same)
-    if len(maybe):
-        words = np.arange(PARAGRAPH)
-        same[maybe] = (h[at[maybe][:, None] + words] == h[at[maybe + 1][:, None] + words]).all(1)
-    # a stretch of fewer than MIN_WORDS words is no passage by itself: its paragraphs stay apart, with their own windows
-    a, b = np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
-    for x, y in zip(a.tolist(), b.tolist()):
-        if x < y and at[y] - at[x] + PARAGRAPH < MIN_WORDS:
-            same[x:y] = False
-    return np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, last, own): every paragraph; neighbours of the same words are one row, from pos to last.
-
-    own: how far before pos the first and the last of the windows begin that select the paragraph, as 32 * first + last.
+MIN_WORDS, KEY_WORDS = 50, 24
+#: Bands for lines: found at the threshold with at least this probability.
+RECALL = 0.99
+PARAGRAPHS = tuned_bands(THRESHOLD, RECALL, rows=4)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Rolling:
+    """64-bit hashes of any runs of words of a batch, each from two sums."""
+
+    def __init__(self, h: np.ndarray):
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix64(h) * powers(np.uint64(_BASE), len(h))[: len(h)], out=self.sums[1:])
+        self.back = powers(_INVERSE, len(h) + 1)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[stop] - self.sums[start]) * self.back[start])
+
+
+def spans_of(r: Rolling, a: int, b: int) -> tuple[np.ndarray, ...]:
+    """Spans of the text of words a to b: key, span hash, first and last window start (counted from a), windows a turn.
+
+    Neighbouring spans that are equal, as in texts that repeat a phrase, are one row of several turns.
     """
+    n = b - a - MIN_WORDS + 1
+    if n < 1:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    at = np.arange(a, b - KEY_WORDS + 1)
+    k = r.of(at, at + KEY_WORDS)
+    place = np.lib.stride_tricks.sliding_window_view(k, MIN_WORDS - KEY_WORDS + 1).argmin(1) + np.arange(n)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    last = np.append(first[1:], n) - 1
+    key = k[place[first]]
+    turn = last - first + 1
+    span = mix64(r.of(a + first, a + last + MIN_WORDS) ^ mix64(((place[first] - first) << 16 | turn).astype(np.uint64)))
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (span[1:] != span[:-1])]))
+    return key[new].view(np.int64), span[new].view(np.int64), first[new], last[np.append(new[1:], len(first)) - 1], turn[new]
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """(key, span, doc_id, first, last, turn) of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 w = Words(texts)
-                s, got, owns = w.shingles(SHINGLE), [], []
-                for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist()):
-                    at, low, high = anchors(s[a:b], b - a)
-                    got.append(at + a)
-                    owns.append(32 * (at - low) + at - high)
-                if not any(len(g) for g in got):
-                    continue
-                flat, text = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
-                key = paragraph_keys(s, flat)
-                a, b = runs(w.h, key, flat, text)
-                ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_numpy(zero_copy_only=False)
-                base = w.at[:-1][text[a]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[a].view(np.int64)), pa.array(ids[text[a]].astype(np.int64)), pa.array((flat[a] - base).astype(np.int32)), pa.array((flat[b] - base).astype(np.int32)), pa.array(np.concatenate(owns)[a].astype(np.int16))], ["key", "doc_id", "pos", "last", "own"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, pos int, last int, own short")
-
-
-def paragraph_contents(h: np.ndarray) -> np.ndarray:
-    """Hash of the PARAGRAPH words from each place on; the last places are padded and not for use."""
-    out = np.zeros(len(h), np.uint64)
-    for j in range(min(PARAGRAPH, len(h))):
-        out[: len(h) - j] += mix64(h[j:] + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return mix64(out).view(np.int64)
-
-
-def contexts(texts: DataFrame) -> DataFrame:
-    """(key, content, doc_id, pos, last, own, words): the paragraphs listed in column at, each with a hash of its words, and the hashes of its words, CONTEXT words before pos and as many after the last."""
+                r = Rolling(w.h)
+                got = [spans_of(r, a, b) for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist())]
+                key, span, first, last, turn = (np.concatenate(x) for x in zip(*got))
+                ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_numpy()
+                doc = np.repeat(ids, [len(g[0]) for g in got])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(span), pa.array(doc), *[pa.array(x.astype(np.int32)) for x in (first, last, turn)]], ["key", "span", "doc_id", "first", "last", "turn"])
+
+    return docs.mapInArrow(run, "key long, span long, doc_id long, first int, last int, turn int")
+
+
+def windows(listed: DataFrame) -> DataFrame:
+    """(h, doc_id, start): a hash of every window from first to last of the spans in column at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, some in text_chunks(batch):
-                w = Words(some)
-                keys, contents, ids, poss, lasts, owns, raw = [], [], [], [], [], [], []
-                content = paragraph_contents(w.h)
-                for doc, at, a, b in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), batch.column("at")[part.start : part.stop].to_pylist(), w.at[:-1].tolist(), w.at[1:].tolist()):
-                    h = np.zeros(b - a + 2 * CONTEXT, np.uint16)
-                    h[CONTEXT : len(h) - CONTEXT] = (w.h[a:b] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
-                    for x in at:
-                        keys.append(x["key"])
-                        ids.append(doc)
-                        poss.append(x["pos"])
-                        contents.append(content[a + x["pos"]])
-                        lasts.append(x["last"])
-                        owns.append(x["own"])
-                        tail = x["last"] + CONTEXT + PARAGRAPH
-                        raw.append(h[x["pos"] : x["pos"] + CONTEXT + PARAGRAPH].tobytes() + h[tail : tail + CONTEXT].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(poss, pa.int32()), pa.array(lasts, pa.int32()), pa.array(owns, pa.int16()), pa.array(raw, pa.binary())], ["key", "content", "doc_id", "pos", "last", "own", "words"])
-
-    return texts.mapInArrow(run, "key long, content long, doc_id long, pos int, last int, own short, words binary")
-
-
-def leaders(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of each key's paragraphs (distinct contents, earliest first) the first whose Jaccard similarity is at least THRESHOLD, or itself.
-
-    Exact, with every earlier leader of its key; memory is that of the leaders.
-    """
-    key = t.column("key").to_numpy()
-    starts = group_starts(key)
-    lead = np.arange(len(key))
-    words = t.column("words")
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if b - a == 1:
-            continue
-        held: list[tuple[int, frozenset]] = []
-        for r in range(a, b):
-            w = np.frombuffer(words[r].as_buffer(), np.uint16)[CONTEXT : CONTEXT + PARAGRAPH].tolist()
-            own = frozenset(zip(*(w[i:] for i in range(SHINGLE))))
-            for at, other in held:
-                both = len(own & other)
-                if both >= THRESHOLD * (len(own) + len(other) - both) - 1e-9:
-                    lead[r] = at
-                    break
-            else:
-                held.append((r, own))
-    at = pa.array(lead)
-    yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("content").combine_chunks(), t.column("doc_id").combine_chunks().take(at), t.column("pos").combine_chunks().take(at), words.combine_chunks().take(at)], ["key", "content", "first", "first_pos", "first_words"])
-
-
-def matched(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words that a paragraph (rows of SPAN word hashes) shares with the first one begin and end, counted from the paragraph's start.
-
-    Words that differ at a paragraph's ends are left out, and it grows only from ends that agree.
-    """
-    same = (own == first) & (own != 0)
-    inner = same[:, CONTEXT : CONTEXT + PARAGRAPH]
-    lead, trail = inner.argmax(1), inner[:, ::-1].argmax(1)
-    left = np.where(lead == 0, np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(1), 0)
-    right = np.where(trail == 0, np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(1), 0)
-    return lead - left, PARAGRAPH - trail + right
-
-
-def window_hashes(words: np.ndarray) -> np.ndarray:
-    """Per row of SPAN word hashes the hashes of the MIN_WORDS words from each place 0 to CONTEXT on; 0 where the text doesn't hold so many."""
-    power = np.multiply.accumulate(np.full(SPAN + 1, 0x9E3779B97F4A7C15, np.uint64))
-    sums = np.zeros((len(words), SPAN + 1), np.uint64)
-    np.cumsum(mix64(words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * power[:-1], axis=1, out=sums[:, 1:])
-    empty = np.zeros((len(words), SPAN + 1), np.int16)
-    np.cumsum(words == 0, axis=1, out=empty[:, 1:])
-    n = SPAN - MIN_WORDS + 1
-    h = mix64((sums[:, MIN_WORDS:] - sums[:, :n]) * power[::-1][:n])
-    return np.where(empty[:, MIN_WORDS:] == empty[:, :n], h | np.uint64(1), np.uint64(0)).view(np.int64)
-
-
-def merge_spans(spans: list[tuple[int, int, int, int | None]]) -> list[tuple[int, int, list[int]]]:
-    """(start, stop, first documents) of what is to be cut, from (start, stop, first document, how far on its words are there).
-
-    Spans join where they overlap or nearly touch both here and in the one first document (None: a stretch of equal
-    paragraphs, which has no one place there), and MIN_WORDS counts for each of them; what overlaps is cut as one.
+            for part, texts in text_chunks(batch):
+                w = Words(texts)
+                r = Rolling(w.h)
+                at = batch.column("at").slice(part.start, part.stop - part.start)
+                each = at.flatten()
+                first, last = (np.asarray(each.field(c), np.int64) for c in ("first", "last"))
+                text = np.repeat(np.arange(len(texts)), np.diff(np.asarray(at.offsets)))
+                size = last - first + 1
+                start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                text = np.repeat(text, size)
+                # where an id has several texts, a shorter one has no such place
+                ok = start + MIN_WORDS <= (w.at[1:] - w.at[:-1])[text]
+                start, text = start[ok], text[ok]
+                ids = batch.column("doc_id").slice(part.start, part.stop - part.start).to_numpy()
+                a = w.at[:-1][text] + start
+                yield pa.RecordBatch.from_arrays([pa.array(r.of(a, a + MIN_WORDS).view(np.int64)), pa.array(ids[text]), pa.array(start.astype(np.int32))], ["h", "doc_id", "start"])
+
+    return listed.select("doc_id", "text", "at").mapInArrow(run, "h long, doc_id long, start int")
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, first): places of words that lie in windows which document first, an earlier one, holds.
+
+    Exact but for collisions of 64-bit hashes; each window names its earliest holder.
     """
-    chains: list[list] = []
-    alive: dict[int, list[list]] = {}
-    for a, b, d, off in sorted(spans, key=lambda x: (x[0], x[1], x[2], x[3] is None, x[3] or 0)):
-        near = [c for c in alive.get(d, ()) if a <= c[1] + BRIDGE]
-        c = next((c for c in near if off is None or c[3] is None or abs(off - c[3]) <= BRIDGE), None)
-        if c is None:
-            c = [a, b, d, off]
-            chains.append(c)
-            near.append(c)
-        else:
-            c[1] = max(c[1], b)
-            c[3] = c[3] if off is None else off
-        alive[d] = near
+    rows = materialize(spans(docs))
+    # each distinct span once, with its earliest holder and how many rows hold it
+    classes = materialize(rows.groupBy("key", "span").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("latest"), F.count("*").alias("n")))
+    keys = classes.groupBy("key").agg(F.min("holder").alias("x"), F.max("latest").alias("y"), F.count("*").alias("n")).where("x <> y")
+    known = materialize(join_hot(classes.withColumnRenamed("n", "rows"), keys.select("key", "n"), ["key"], classes.count()).select("key", "span", "holder", F.col("rows").alias("n"), (F.col("n") > 1).alias("parts")))
+    release(classes)
+    met = materialize(join_hot(rows, known, ["key", "span"], rows.count()).where("doc_id > holder OR parts").select("doc_id", "first", "last", "holder", "parts"))
+    release(rows, known)
+    whole = met.where("doc_id > holder").select("doc_id", F.col("first").alias("start"), (F.col("last") + MIN_WORDS).alias("stop"), F.col("holder").alias("first"))
+    # the earliest holder of each span stands for it where its windows are looked up one by one
+    listed = met.where("doc_id = holder AND parts").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("at"))
+    each = materialize(windows(docs.join(listed, "doc_id")))
+    holders = each.groupBy("h").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("holder <> y")
+    later = join_hot(each, holders.select("h", "holder", "n"), ["h"], each.count()).where("doc_id > holder").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), F.col("holder").alias("first"))
+    return whole.unionAll(later)
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, start, stop, text) of the lines of at least MIN_WORDS words; start and stop count words of the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                doc, line, start, stop, found = [], [], [], [], []
+                for i, text in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), texts):
+                    at = 0
+                    for k, some in enumerate(text.split(b"\n")):
+                        n = len(some.split())
+                        if n >= MIN_WORDS:
+                            doc.append(i)
+                            line.append(k)
+                            start.append(at)
+                            stop.append(at + n)
+                            found.append(some.decode("utf-8", "replace"))
+                        at += n
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x, pa.int32()) for x in (line, start, stop)], pa.array(found, pa.string())], ["doc_id", "line", "start", "stop", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, line int, start int, stop int, text string")
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, first): lines whose component reaches an earlier document, the earliest of which is first."""
+    got = similar_groups(lines(docs), ["doc_id", "line", "start", "stop"], THRESHOLD, PARAGRAPHS)
+    return got.where("least.doc_id < doc_id").select("doc_id", "start", "stop", F.col("least.doc_id").alias("first"))
+
+
+def merge_spans(found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(start, stop, first documents) of what is to be cut: what overlaps or touches, and nothing between."""
     out: list[tuple[int, int, set[int]]] = []
-    held: list[list] = []
-    for c in sorted((c for c in chains if c[1] - c[0] >= MIN_WORDS), key=lambda c: (c[0], -c[1], c[2])):
-        a, b, d, _ = c
-        # what lies within an earlier document's passage is that document's; d is joined to it by itself
-        held = [x for x in held if x[1] > a]
-        if any(x[1] >= b and x[2] < d for x in held):
-            continue
-        held.append(c)
-        if out and a < out[-1][1]:
+    for a, b, d in sorted(found):
+        if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], b), out[-1][2] | {d}
         else:
             out.append((a, b, {d}))
@@ -223,81 +186,23 @@ def cut_words(text: bytes, spans: list[tuple[int, int, list[int]]], starts: np.n
     return made.rstrip(b" \t\n\v\f\r") if spans and spans[-1][1] >= len(starts) else made
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at: array of (start, stop, firsts)) for documents that repeat an earlier one's paragraphs, in word places."""
-    rows = materialize(paragraphs(docs))
-    # copies of one text repeat it as a whole and need no paragraphs
-    copies = docs.where(F.octet_length("text") > 0).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copied = docs.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("words")).join(copies, "m").where("doc_id > first")
-    copied = materialize(copied.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("words").alias("words")))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    some = rows.join(shared, "key").join(copied.select("doc_id"), "doc_id", "left_anti")
-    some = materialize(some)
-    release(rows)
-    still = some.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    listed = some.join(still, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "last", "own")).alias("at"))
-    own = docs.select("doc_id", "text").join(listed, "doc_id")
-    seen = materialize(contexts(own))
-    release(some)
-    # a paragraph's content occurs once here, however many documents hold it
-    contents = seen.groupBy("key", "content").agg(F.min(F.struct("doc_id", "pos", "words")).alias("f")).select("key", "content", "f.*")
-    first = map_groups(contents, ["key"], leaders, "key long, content long, first long, first_pos int, first_words binary", by=["doc_id", "pos", "content"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SPAN) for c in ("words", "first_words"))
-            start, stop = matched(x, y)
-            doc, pos, last, first, own = (b.column(c).to_numpy() for c in ("doc_id", "pos", "last", "first", "own"))
-            other = doc != first
-            off = pa.array(b.column("first_pos").to_numpy() - pos, mask=pos != last)
-            yield rows_of(doc[other], (pos + start)[other], (last + stop)[other], first[other], None, off.filter(pa.array(other)))
-            # windows that the first one doesn't hold whole; a long stretch of equal paragraphs is a passage by itself
-            back = CONTEXT - np.arange(CONTEXT + 1)
-            h = window_hashes(x)
-            lost = (h != 0) & (back <= (own >> 5)[:, None]) & (back >= (own & 31)[:, None]) & ((start[:, None] > -back) | (stop[:, None] < MIN_WORDS - back)) & (pos == last)[:, None]
-            r, c = np.nonzero(lost)
-            at = pos[r] - back[c]
-            yield rows_of(doc[r], at, at + MIN_WORDS, None, h[r, c], pa.nulls(len(r), pa.int32()))
-
-    def rows_of(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray | None, h: np.ndarray | None, off: pa.Array) -> pa.RecordBatch:
-        long = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (first, h)]
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *long, off.cast(pa.int32())], ["doc_id", "start", "stop", "first", "h", "off"])
-
-    both = materialize(seen.join(first, ["key", "content"]).where("doc_id <> first OR pos <> first_pos").mapInArrow(compare, "doc_id long, start int, stop int, first long, h long, off int"))
-    release(seen)
-    spans = both.where("first IS NOT NULL").select("doc_id", "start", "stop", "first", "off")
-    open_ = both.where("h IS NOT NULL")
-    holders = open_.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("y")).where("f.doc_id <> y").select("h", F.col("f.doc_id").alias("first"), F.col("f.start").alias("at"))
-    later = open_.select("h", "doc_id", "start", "stop").join(holders, "h").where("doc_id <> first").select("doc_id", "start", "stop", "first", (F.col("at") - F.col("start")).alias("off"))
-    whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"), "first", F.lit(0).alias("off"))
-    made = materialize(spans.unionAll(later).unionAll(whole))
-    release(both, copied)
-    grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "first", "off"))).alias("at"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [merge_spans([(x["start"], x["stop"], x["first"], x["off"]) for x in at]) for at in b.column("at").to_pylist()]
-            full = [i for i, g in enumerate(got) if g]
-            spans_of = pa.array([[{"start": a, "stop": z, "firsts": d} for a, z, d in got[i]] for i in full], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("firsts", pa.list_(pa.int64()))])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(full, pa.int64())), spans_of], ["doc_id", "at"])
-
-    return grouped.mapInArrow(merge, "doc_id long, at array<struct<start:int,stop:int,firsts:array<long>>>")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col without its repeated passages, and n_removed (passages), removed_words, firsts (documents that keep them), class_id (smallest id that removals join, the own id for all others).
 
-    A document that copies an earlier one of at least MIN_WORDS words becomes empty.  The earliest document (smallest id) keeps
-    a passage, even where it holds it twice; texts of fewer than MIN_WORDS words are never touched; null texts stay
-    null; rows without an id keep their text; repeated rows of one id are cut alike.
+    Removed are windows of MIN_WORDS words that an earlier document (smaller id) holds, and lines of at least MIN_WORDS
+    words in a component of similar lines that reaches an earlier document; no word outside them.  A document that
+    copies an earlier one of at least MIN_WORDS words becomes empty.  The earliest document keeps a passage, even
+    where it holds it twice; texts of fewer than MIN_WORDS words are never touched; null texts stay null; rows
+    without an id keep their text; repeated rows of one id are cut alike; an empty table gives no rows.
     """
-    spans = materialize(repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())))
-    edges = spans.select(F.col("doc_id").alias("a"), F.explode(F.flatten("at.firsts")).alias("b"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
+    found = materialize(repeated_windows(source).unionAll(repeated_paragraphs(source)))
+    edges = found.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     # places and classes are narrow; the texts meet them once
-    about = spans.join(classes, "doc_id", "full")
+    at = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "first")).alias("at"))
+    about = materialize(classes.join(at, "doc_id", "left"))
+    release(found)
     named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     i_id, i_text = docs.columns.index(id_col), docs.columns.index(text_col)
     j = named.join(about, F.col(f"_c{i_id}") == F.col("doc_id"), "left").drop("doc_id")
@@ -305,14 +210,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(f"_c{i_text}")
-            at = batch.column("at").to_pylist()
             texts, count, words, firsts = col.to_pylist(), [], [], []
-            for k, spans_of in enumerate(at):
+            for k, at in enumerate(batch.column("at")):
                 kept: list[tuple[int, int, list[int]]] = []
-                if spans_of and texts[k] is not None:
+                if at.is_valid and texts[k] is not None:
                     raw = texts[k].encode()
                     starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
-                    kept = [(x["start"], min(x["stop"], len(starts)), x["firsts"]) for x in spans_of if x["start"] < len(starts)]
+                    places = zip(*(at.values.field(c).to_pylist() for c in ("start", "stop", "first")))
+                    kept = merge_spans([(a, min(b, len(starts)), d) for a, b, d in places if a < len(starts)])
                     texts[k] = cut_words(raw, kept, starts, ends).decode("utf-8", "replace")
                 count.append(len(kept))
                 words.append(sum(b - a for a, b, _ in kept))

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from execlens.llm import substring
+from execlens.llm.neardup import Bands, minhashes, tuned_bands
 
 
 def grams(texts, k):
@@ -120,3 +123,92 @@ def test_shares_of_different_documents_next_to_each_other(spark, docs):
     assert got[3].class_id == got[7].class_id == got[9].class_id == 3
     assert got[19].text.split() == dict(rows)[19] and got[21].n_removed == 0
     assert got[29].text.split() == own[3][:20] + own[4][:20] and got[29].firsts == [19]
+
+
+def brute(rows):
+    """Words left of each text: windows of 50 words that an earlier text holds go, and lines joined to an earlier text's by similarity."""
+    rows = sorted(rows)
+    gone = {i: set() for i, _ in rows}
+    holder = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            if holder.setdefault(tuple(w[j : j + 50]), i) < i:
+                gone[i].update(range(j, j + 50))
+    lines = []
+    for i, t in rows:
+        at = 0
+        for x in t.split("\n"):
+            w = x.split()
+            if len(w) >= 50:
+                lines.append((i, at, len(w), {tuple(w[j : j + 5]) for j in range(len(w) - 4)}))
+            at += len(w)
+    group = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = lines[a][3], lines[b][3]
+            if len(x & y) >= 0.8 * len(x | y) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    for a, (i, at, n, _) in enumerate(lines):
+        if lines[group[a]][0] < i:
+            gone[i].update(range(at, at + n))
+    return {i: [w for j, w in enumerate(t.split()) if j not in gone[i]] for i, t in rows}
+
+
+def test_equals_brute_force(spark, docs):
+    rng = random.Random(29)
+    vocabulary = [f"w{i}" if i % 7 else f"w{i}ß" for i in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [some(n) for n in (49, 50, 51, 70, 120, 200)]
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(shared)[:]
+            kind = rng.randrange(4)
+            if kind == 1:
+                for _ in range(rng.randrange(1, 4)):
+                    p[rng.randrange(len(p))] = rng.choice(vocabulary)
+            elif kind == 2:
+                p = p[rng.randrange(20) :][: rng.randrange(20, 200)]
+            elif kind == 3:
+                p = some(rng.choice([3, 30, 90]))
+            parts.append(" ".join(p) + rng.choice([" ", "\n", " \n\n"]))
+        rows.append((i, "".join(parts)))
+    rows += [(100, "a b " * 90), (101, "x y " + "a b " * 70), (102, "a " * 200), (103, "b " + "a " * 120 + "c")]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in substring.remove_repeats(docs([(i, t, "s") for i, t in rows], extra=True)).collect()}
+    want = brute(rows)
+    assert {i: r.text.split() for i, r in got.items()} == want
+    assert all(got[i].removed_words == len(t.split()) - len(want[i]) for i, t in rows)
+    assert sum(r.n_removed > 0 for r in got.values()) > 40
+
+
+def test_two_short_shares_around_own_words_stay(spark, docs):
+    rng = random.Random(31)
+    a, b, own = words(rng, 34), words(rng, 34), words(rng, 4)
+    rows = [(1, " ".join(words(rng, 20) + a + words(rng, 20)), "s"), (2, " ".join(b + words(rng, 30)), "s"), (3, " ".join(a + own + b), "s")]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs(rows)).collect()}
+    assert all(got[i].text == t and not got[i].n_removed and got[i].class_id == i for i, t, _ in rows)
+
+
+def test_a_very_long_text(spark, docs):
+    rng = random.Random(37)
+    passage, long = words(rng, 51), words(rng, 120_000)
+    rows = [(1, " ".join(long[:60_000] + passage + long[60_000:]), "s"), (2, " ".join(["new"] + passage + ["end"]), "s"), (3, " ".join(long[50_000:50_060]), "s")]
+    got = {r.doc_id: r.text for r in substring.remove_repeats(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "new end", 3: ""}
+
+
+def test_recall_of_the_bands():
+    plan = substring.PARAGRAPHS
+    assert plan == tuned_bands(0.8, 0.99, 4) and plan.recall(0.8) >= 0.99 > Bands(plan.bands - 1, 4).recall(0.8)
+    rng = np.random.default_rng(3)
+    hit = 0
+    for _ in range(400):  # pairs of similarity 0.8: 80 shared of 100
+        x = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+        both = np.concatenate([x[:90], x[:80], x[90:]])
+        sig = minhashes(both, np.array([0, 90]), plan.hashes).reshape(2, plan.bands, plan.rows)
+        hit += (sig[0] == sig[1]).all(1).any()
+    assert hit >= 0.97 * 400
