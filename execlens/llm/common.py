@@ -77,11 +77,15 @@ def join_hot(rows: DataFrame, about: DataFrame, on: list[str], total: int) -> Da
     """Inner join of rows with about, which has one row per key and in column n how many of rows hold it; total: rows at most.
 
     Keys of more than 1/HOT_KEYS of the total are fewer than HOT_KEYS, whatever the input's size, so
-    their rows of about are broadcast and the rows of a hot key stay spread; all others are shuffled.
+    their rows of about are broadcast; in the shuffle for all others they are spread by a salt that
+    matches nothing.
     """
-    hot = F.col("n") > F.lit(total / HOT_KEYS)
-    some = F.broadcast(about.where(hot))
-    return rows.join(some, on).unionByName(rows.join(F.broadcast(about.where(hot).select(*on)), on, "left_anti").join(about.where(~hot), on))
+    hot, more = F.col("n") > F.lit(total / HOT_KEYS), [c for c in about.columns if c not in on]
+    some = about.where(hot).select(*on, *[F.col(c).alias(f"_h_{c}") for c in more])
+    rest = about.where(~hot).select(*on, *[F.col(c).alias(f"_r_{c}") for c in more], F.lit(0).alias("_salt"))
+    salted = rows.join(F.broadcast(some), on, "left").withColumn("_salt", F.when(F.col("_h_n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("int"))
+    met = salted.join(rest, [*on, "_salt"], "left").where("_h_n IS NOT NULL OR _r_n IS NOT NULL")
+    return met.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in more])
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, by: list[str] | None = None) -> DataFrame:
@@ -129,29 +133,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list of longs: (node, component), component = smallest node.
 
     Alternating large-star and small-star steps (both keep connectivity and move edges to smaller
-    nodes) until nothing changes; the rounds grow with the logarithm of the longest path.  Every
+    nodes) until only stars are left; the rounds grow with the logarithm of the longest path.  Every
     step is an aggregate and a join, in which the edges of a hub stay spread over tasks; each round
     is written to shared storage.
     """
     spark = edges.sparkSession
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
 
-    def state(x: DataFrame):
+    def stars() -> tuple[int, bool]:
+        """Number of edges, and whether each node is either a centre or joined to one centre only."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("child")).unionAll(e.select(F.col("v").alias("node"), F.lit(0).alias("child")))
+        nodes = ends.groupBy("node").agg(F.sum("child").alias("c"), F.count("*").alias("n"))
         with dropping_shuffles(spark):
-            r = x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        return r["n"], r["h"]
+            r = nodes.agg(F.sum("c").alias("n"), F.max((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("n") > F.col("c")))).alias("open")).first()
+        return r["n"] or 0, not r["open"]
 
-    was = state(e)
-    while was[0]:
+    while True:
+        total, done = stars()
+        if done:
+            break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both, low, ["u"], 2 * was[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, low, ["u"], 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, low, ["u"], was[0]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        small = join_hot(large, low, ["u"], total).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
         before, e = e, materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = state(e)
         release(before)
-        if now == was:
-            break
-        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Bytes that separate words: blank and \\t \\n \\v \\f \\r (fixed values).
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
