@@ -78,11 +78,11 @@ def join_hot(rows: DataFrame, about: DataFrame, on: list[str], total: int) -> Da
 
     Keys of more than 1/HOT_KEYS of the total are fewer than HOT_KEYS, whatever the input's size, so
     their rows of about are broadcast; in the shuffle for all others they are spread by a salt that
-    matches nothing.
+    matches nothing (0 for what is joined, but no literal, which the optimizer would take out of the keys).
     """
     hot, more = F.col("n") > F.lit(total / HOT_KEYS), [c for c in about.columns if c not in on]
     some = about.where(hot).select(*on, *[F.col(c).alias(f"_h_{c}") for c in more])
-    rest = about.where(~hot).select(*on, *[F.col(c).alias(f"_r_{c}") for c in more], F.lit(0).alias("_salt"))
+    rest = about.where(~hot).select(*on, *[F.col(c).alias(f"_r_{c}") for c in more], F.least("n", F.lit(0)).cast("int").alias("_salt"))
     salted = rows.join(F.broadcast(some), on, "left").withColumn("_salt", F.when(F.col("_h_n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("int"))
     met = salted.join(rest, [*on, "_salt"], "left").where("_h_n IS NOT NULL OR _r_n IS NOT NULL")
     return met.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in more])

@@ -9,7 +9,7 @@ sets, block by block, and every pair that isn't pruned is verified exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, lgamma, log
 from typing import NamedTuple
 
@@ -89,12 +89,21 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, need: dict[int, int]) -
     return out
 
 
-def signatures(rows: DataFrame, ids: list[str], plan: Bands) -> DataFrame:
+Parts = Callable[[pa.RecordBatch], Iterator[tuple[list[pa.Array], list[bytes]]]]
+
+
+def whole_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+    """Ids and texts of (doc_id, text), a few at a time."""
+    for part, texts in text_chunks(batch):
+        yield [batch.column("doc_id").slice(part.start, part.stop - part.start)], texts
+
+
+def signatures(docs: DataFrame, ids: dict[str, str], plan: Bands, parts: Parts) -> DataFrame:
     """(ids, lo, hi, size, sig) of each text: two hashes of its shingle set, its size and MinHash values; size 0 where it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for own, texts in parts(batch):
                 sets = list(Words(texts).sets(SHINGLE))
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
@@ -104,11 +113,24 @@ def signatures(rows: DataFrame, ids: list[str], plan: Bands) -> DataFrame:
                     starts = (np.cumsum(size) - size)[full]
                     lo[full], hi[full] = np.add.reduceat(mix64(flat), starts), np.bitwise_xor.reduceat(_second(flat), starts)
                     sig[full] = minhashes(flat, starts, plan.hashes)
-                own = [batch.column(c).slice(part.start, part.stop - part.start) for c in ids]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(size), _binary(sig)], [*ids, "lo", "hi", "size", "sig"])
 
-    types = dict(rows.dtypes)
-    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ids) + ", lo long, hi long, size long, sig binary")
+    return docs.mapInArrow(run, _schema(ids) + ", lo long, hi long, size long, sig binary")
+
+
+def _schema(ids: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in ids.items())
+
+
+def _texts(docs: DataFrame, ids: dict[str, str], parts: Parts) -> DataFrame:
+    """(ids, text)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, texts in parts(batch):
+                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.binary())], [*ids, "text"])
+
+    return docs.select(*ids, "text") if parts is whole_texts else docs.mapInArrow(run, _schema(ids) + ", text binary")
 
 
 def _second(shingles: np.ndarray) -> np.ndarray:
@@ -188,16 +210,17 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return both[place[i], place[j]].astype(np.int64)
 
 
-def similar_groups(rows: DataFrame, ids: list[str], threshold: float = THRESHOLD, plan: Bands = DOCUMENTS) -> DataFrame:
-    """(ids, least struct of ids, n_links) per row of (ids, text): the least ids that links reach, and the other rows linked directly.
+def similar_groups(docs: DataFrame, ids: dict[str, str], threshold: float = THRESHOLD, plan: Bands = DOCUMENTS, parts: Parts = whole_texts) -> DataFrame:
+    """(ids, least: struct of ids, n_links) per text: the least ids that links reach, and the other texts linked directly.
 
-    ids are longs or integers, none of them null, and needn't be unique.  Rows are linked when the Jaccard
-    similarity of their shingle sets is at least the threshold.
+    docs is (doc_id, text) without null ids; parts gives the texts to compare and their ids, whose types
+    are named in ids and which needn't be unique.  Texts are linked when the Jaccard similarity of their
+    shingle sets is at least the threshold.
     """
     need = needed(threshold, hashes=plan.hashes)
     sets = ["lo", "hi", "size"]
     # a number of its own for every row: tables once written keep it
-    sigs = materialize(signatures(rows, ids, plan).withColumn("node", F.monotonically_increasing_id()))
+    sigs = materialize(signatures(docs, ids, plan, parts).withColumn("node", F.monotonically_increasing_id()))
     with_words = sigs.where("size > 0")
     classes = materialize(with_words.groupBy(*sets).agg(F.min("node").alias("rep"), F.min(F.struct(*ids)).alias("own"), F.count("*").alias("n"), F.first("sig").alias("sig")))
     clusters = components(candidate_edges(classes, need, plan)).select(F.col("node").alias("rep"), "component")
@@ -205,7 +228,7 @@ def similar_groups(rows: DataFrame, ids: list[str], threshold: float = THRESHOLD
     weight = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("k"))
     # one row per class with its text, even if its ids occur in several rows
     named = members.select(*[F.col(f"own.{c}").alias(c) for c in ids], *[F.col(c).alias(f"_{c}") for c in sets], "component", "rep", F.col("n").alias("copies"), "sig")
-    texts = rows.select(*ids, "text").join(named, ids)
+    texts = _texts(docs, ids, parts).join(named, [*ids])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +292,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left out; repeated rows count as copies; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    got = similar_groups(source, ["doc_id"], threshold)
+    got = similar_groups(source, {"doc_id": "long"}, threshold)
     return got.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links").withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 

@@ -135,32 +135,29 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return whole.unionAll(later)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, start, stop, text) of the lines of at least MIN_WORDS words; start and stop count words of the document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_chunks(batch):
-                doc, line, start, stop, found = [], [], [], [], []
-                for i, text in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), texts):
-                    at = 0
-                    for k, some in enumerate(text.split(b"\n")):
-                        n = len(some.split())
-                        if n >= MIN_WORDS:
-                            doc.append(i)
-                            line.append(k)
-                            start.append(at)
-                            stop.append(at + n)
-                            found.append(some.decode("utf-8", "replace"))
-                        at += n
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x, pa.int32()) for x in (line, start, stop)], pa.array(found, pa.string())], ["doc_id", "line", "start", "stop", "text"])
-
-    return docs.mapInArrow(run, "doc_id long, line int, start int, stop int, text string")
+def lines(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+    """Ids (those of LINE) and texts of the lines of at least MIN_WORDS words, a few documents at a time."""
+    for part, texts in text_chunks(batch):
+        ids, found = [], []
+        for doc, text in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), texts):
+            at = 0
+            for k, some in enumerate(text.split(b"\n")):
+                n = len(some.split())
+                if n >= MIN_WORDS:
+                    ids.append((doc, k, at, at + n))
+                    found.append(some)
+                at += n
+        if found:
+            yield [pa.array(c, t) for c, t in zip(zip(*ids), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], found
+
+
+#: A line's ids; start and stop count words of the document.
+LINE = {"doc_id": "long", "line": "int", "start": "int", "stop": "int"}
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, first): lines whose component reaches an earlier document, the earliest of which is first."""
-    got = similar_groups(lines(docs), ["doc_id", "line", "start", "stop"], THRESHOLD, PARAGRAPHS)
+    got = similar_groups(docs, LINE, THRESHOLD, PARAGRAPHS, lines)
     return got.where("least.doc_id < doc_id").select("doc_id", "start", "stop", F.col("least.doc_id").alias("first"))
 
 
