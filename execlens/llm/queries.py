@@ -33,9 +33,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.control_case(spark, table(spark, sf_dir, "conversations"))
-    key, turn, role, text = chat.turn_columns(rows.schema)
-    return chat.chat_digests(chat.format_turns(rows, key, turn, role, text), key)
+    rows = chat.turn_rows(table(spark, sf_dir, "conversations")).unionByName(chat.turn_rows(chat.control_case(spark)))
+    return chat.chat_digests(chat.format_turns(rows, "conv_id", "turn", "role", "text", "turn_part"), "conv_id")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,39 @@ def test_layouts(spark):
     assert [got[i].layout for i in (10, 90, 91, 92)] == [None] * 4 and got[0].fingerprint != got[1].fingerprint
 
 
+def test_further_fields_hide_no_layout(spark):
+    records = [
+        {"id": 7, "messages": [{"role": "user", "content": "a", "name": "n"}], "source": {"url": "u"}},
+        {"messages": []}, {"messages": [], "id": 1}, {"prompt": "x", "response": "y", "system": "s", "meta": [1]},
+        {"instruction": "i", "input": "n", "output": "o", "system": "s"}, {"prompt": None, "response": "y"}, [1], "text",
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i long, j string")
+    got = {r.i: [tuple(t) for t in r.turns] if r.turns is not None else None for r in chat.canonical_turns(df, "j").collect()}
+    assert got[0] == [("user", "a")] and got[1] == got[2] == [] and got[3] == [("system", "s"), ("user", "x"), ("assistant", "y")]
+    assert got[4] == [("system", "s"), ("user", "i\nn"), ("assistant", "o")] and got[5] == [("user", None), ("assistant", "y")] and got[6] is got[7] is None
+
+
+def test_the_layout_decides_what_is_read(spark):
+    """The same conversation in several layouts gives the same digests; the fingerprint alone tells them apart."""
+    want = None
+    said = [("user", "hello <|im_end|>"), ("assistant", "yes"), ("user", "and"), ("assistant", None)]
+    same = lambda c: {"conv_id": 5, "extra": "e"} | c
+    tables = [
+        spark.createDataFrame([(5, i, t, r, "e") for i, (r, t) in enumerate(said)], "conv_id long, turn int, text string, role string, extra string"),
+        spark.createDataFrame([("e", 5, i, t, r) for i, (r, t) in enumerate(said)], "extra string, conversation_id long, message_id long, content string, role string"),
+        spark.createDataFrame([(5, i, r, t) for i, (r, t) in enumerate(said)], "conversation_id long, message_id long, `from` string, value string"),
+        spark.createDataFrame([(5, [{"role": r, "content": t} for r, t in said], 1)], "conv_id long, messages array<struct<content:string,role:string>>, n int"),
+        spark.createDataFrame([(5, i, said[2 * i][1], said[2 * i + 1][1]) for i in (0, 1)], "conv_id long, turn int, response_to string, response string").withColumnRenamed("response_to", "prompt"),
+        spark.createDataFrame([(5, json.dumps(same({"conversations": [{"from": {"user": "human", "assistant": "gpt"}[r], "value": t} for r, t in said]})))], "conv_id long, record string"),
+        spark.createDataFrame([(5, 1, json.dumps({"question": "and", "answer": None})), (5, 0, json.dumps(same({"instruction": said[0][1], "output": "yes"}))), (5, 2, '{"foo": 1}'), (5, 3, None)], "conv_id long, turn int, record string"),
+    ]
+    for t in tables:
+        f = chat.format_turns(chat.turn_rows(t), "conv_id", "turn", "role", "text", "turn_part")
+        got = chat.chat_digests(f, "conv_id").collect()
+        want = want or got
+        assert got == want and len(got) == 1 and got[0].n_turns == 4 and got[0].loss_chars == 3
+
+
 def test_turn_tables(spark):
     df = spark.createDataFrame([], "text string, role string, turn long, conv_id long, extra int")
-    assert chat.turn_columns(df.schema) == ("conv_id", "turn", "role", "text")
+    assert chat.layout_of(df.schema).name == "turn_row" and chat.turn_rows(df).collect() == []
