@@ -2,9 +2,10 @@
 
 Vectors are rotated by fast Hadamard transforms with random signs; a hash is the axis (with sign)
 nearest to the rotated vector, and a bucket key joins several hashes with the label.  Each vector
-also goes to the buckets of its next best axes (multiprobe).  Pairs that meet in a bucket are
-verified by their exact cosine; components of verified pairs are then compared within, block by
-block, so that each link is counted once.
+also goes to the buckets of its next best axes (multiprobe), where it meets those that live there.
+Pairs that meet in a bucket are verified by their exact cosine; components of verified pairs are
+then compared within, block by block, so that each link is counted once.  Equal vectors of a label
+are one class with a count, which is hashed and compared once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, deal, group_starts, index_pairs, join_labels
-from .common import components, map_groups, materialize
+from .common import components, join_hot, map_groups, materialize, release
 from .textops import mix64
 
 TABLES, FUNCTIONS, PROBES, ROUNDS = 8, 2, 2, 3
@@ -59,7 +60,7 @@ def bucket_keys(x: np.ndarray, label: np.ndarray) -> np.ndarray:
         h = [hashes(x, 1000 * t + f + 7) for f in range(FUNCTIONS)]
         order = np.argsort(np.stack([gap for _, _, gap in h]), axis=0)
         for p in range(1 + PROBES):
-            k = mix64(label.astype(np.int64).view(np.uint64) * np.uint64(1 << 8) + np.uint64(t))
+            k = mix64(mix64(label.astype(np.int64).view(np.uint64)) + np.uint64(t))
             for f in range(FUNCTIONS):
                 axis = np.where(order[p - 1] == f, h[f][1], h[f][0]) if p else h[f][0]
                 k = mix64(k ^ (axis.astype(np.uint64) + np.uint64(1 + (f << 20))))
@@ -87,14 +88,21 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Per row: vec_id, n_links, component_id, kept, for pairs of equal non-null label whose cosine is at least the threshold.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows of null label link
-    with nothing; vectors of unequal length don't meet; rows without an id are left out; repeated
-    rows of one id count as one vector; an empty table gives no rows.
+    with nothing; vectors of unequal length don't meet; rows without an id are left out; rows of one
+    id count as one vector (of unequal ones the least counts); an empty table gives no rows.
     """
     x = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label")).where("vec_id IS NOT NULL")
-    rows = materialize(rows.dropDuplicates(["vec_id"]))
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label")).where("vec_id IS NOT NULL")
     able = F.col("label").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
-    good = rows.where(able)
+    # ids with several rows, which narrow rows tell, keep their least one
+    again = raw.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    least = raw.join(again, "vec_id").groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("r")).select("vec_id", "r.v", "r.label")
+    rows = raw.join(again, "vec_id", "left_anti").unionByName(least).withColumn("able", able)
+    # two hashes tell equal vectors of a label
+    rows = materialize(rows.withColumn("a", F.xxhash64("label", "v")).withColumn("b", F.xxhash64(F.lit(29), "v", "label")))
+    narrow = rows.where("able").select("vec_id", "a", "b")
+    classes = narrow.groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    good = materialize(classes.select("rep", F.col("n").alias("copies")).join(rows.where("able").select(F.col("vec_id").alias("rep"), "v", "label"), "rep"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,43 +110,50 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 some = b.take(pa.array(at))
-                k = bucket_keys(_unit(_rows(some.column("v"))), some.column("label").to_numpy() * np.int64(1 << 20) + np.int64(d))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(some.column("vec_id").to_numpy(), k.shape[1]))], ["key", "vec_id"])
+                # vectors of another length have other buckets
+                k = bucket_keys(_unit(_rows(some.column("v"))), some.column("label").to_numpy().view(np.uint64) ^ mix64(np.full(len(at), d, np.uint64)))
+                home = np.tile(np.arange(k.shape[1]) % (1 + PROBES) == 0, len(k))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(some.column("rep").to_numpy(), k.shape[1])), pa.array(home)], ["key", "rep", "home"])
 
-    keys = materialize(good.mapInArrow(keyed, "key long, vec_id long"))
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(full, "key").join(good.select("vec_id", "v"), "vec_id")
-    dealt = deal(met, F.ceil(F.col("n") / BLOCK), "vec_id").select("key", "lo", "hi", "own", "vec_id", "v")
-
-    def near(u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", u[i], u[j]) >= threshold
+    keys = materialize(good.mapInArrow(keyed, "key long, rep long, home boolean"))
+    # a bucket where nobody lives brings only visitors together
+    full = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("lived_in")).where("n > 1 AND lived_in").drop("lived_in")
+    met = join_hot(keys.select("key", "rep"), full, ["key"], keys.count()).distinct()
+    dealt = deal(met.join(good.select("rep", "v", "label"), "rep"), F.ceil(F.col("n") / BLOCK), "rep").select("key", "lo", "hi", "own", "rep", "label", "v")
 
     def compare(count: bool, group: str):
         def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            lo, hi, own, ids = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "vec_id"))
+            lo, hi, own, ids, of = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "label"))
+            copies = t.column("copies").to_numpy() if count else None
+            size = np.diff(t.column("v").combine_chunks().offsets.to_numpy())
             u = _unit(_rows(t.column("v")))
             label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
             for i, j in index_pairs(group_starts(t.column(group).to_numpy(), lo, hi), lo, hi, own):
-                ok = near(u, i, j) & (ids[i] != ids[j])
+                ok = (of[i] == of[j]) & (size[i] == size[j])
+                i, j = i[ok], j[ok]
+                ok = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
                 i, j = i[ok], j[ok]
                 if count:
-                    links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
                 else:
                     label = join_labels(label, i, j)
             if count:
                 at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at])], ["vec_id", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at])], ["rep", "links"])
             else:
                 at = np.flatnonzero(label != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["a", "b"])
 
         return run
 
-    groups = components(map_groups(dealt, ["key", "lo", "hi"], compare(False, "key"), "a long, b long")).select(F.col("node").alias("vec_id"), F.col("component").alias("component_id"))
-    groups = materialize(groups)
+    groups = materialize(components(map_groups(dealt, ["key", "lo", "hi"], compare(False, "key"), "a long, b long")).select(F.col("node").alias("rep"), F.col("component").alias("component_id")))
     sizes = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    within = deal(groups.join(sizes, "component_id").join(good.select("vec_id", "v"), "vec_id"), F.col("k"), "vec_id").select("component_id", "lo", "hi", "own", "vec_id", "v")
-    counts = map_groups(within, ["component_id", "lo", "hi"], compare(True, "component_id"), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    out = rows.select("vec_id").join(groups, "vec_id", "left").join(counts, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    within = deal(groups.join(sizes, "component_id").join(good, "rep"), F.col("k"), "rep").select("component_id", "lo", "hi", "own", "rep", "copies", "label", "v")
+    counts = map_groups(within, ["component_id", "lo", "hi"], compare(True, "component_id"), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    about = classes.join(groups, "rep", "left").join(counts, "rep", "left")
+    about = materialize(about.select("a", "b", "n", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    release(keys, good, groups)
+    linked = join_hot(narrow, about, ["a", "b"], narrow.count()).select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

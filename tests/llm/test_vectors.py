@@ -47,6 +47,20 @@ def test_links_against_brute_force(spark):
     assert embeddings.cosine_links(df.where("false")).collect() == []
 
 
+def test_labels_never_mix(spark):
+    """Labels whose low bits agree, and copies of one vector under several labels."""
+    v = [1.0] * 24
+    rows = [(1, v, 0), (2, v, 2**36), (3, v, -1), (4, v, 2**44), (5, v, 0), (6, [2.0] * 24, 0), (7, [-0.0] + v[1:], 2**36), (8, [0.0] + v[1:], 2**36)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (2, 1), 5: (2, 1), 6: (2, 1), 2: (2, 2), 7: (2, 2), 8: (2, 2), 3: (0, 3), 4: (0, 4)}
+
+
+def test_rows_of_one_id_with_other_vectors_count_once(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, None, 1), (4, [1.0, 0.0], None)]
+    runs = [sorted(map(tuple, embeddings.cosine_links(spark.createDataFrame(r, "vec_id long, embedding array<double>, label int")).collect())) for r in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [1, 2, 3, 4]
+
+
 def test_hot_cluster_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(4)
@@ -80,13 +94,21 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert len(search.top_k(v.where("vec_id in (1, 2)"), v.where("vec_id = 1"), 10).collect()) == 1
 
 
-def test_bound_order_stops_early():
+def test_pivots_eliminate_and_scores_stay_exact():
     rng = np.random.default_rng(8)
-    c = np.floor(1024 * rng.standard_normal((3000, 2)))
-    ids = np.arange(3000)
-    got = list(search.block_top_k(ids[:5], c[:5], ids, c, 10))
-    for q, found, scores in got:
-        s = c @ c[q]
-        s[q] = -np.inf
-        best = np.lexsort((ids, -s))[:10]
-        assert found.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+    for dim, most in ((2, 0.1), (64, 0.6)):
+        c = np.floor(1024 * rng.standard_normal((6000, dim)))
+        ids, p = np.arange(6000), search.Pivots(dim, c[:1000])
+        d, scored = p.distances(c), 0
+        for q, found, scores, seen in search.block_top_k(p, ids[:20], c[:20], d[:20], np.full(20, -(2**63)), ids, c, d, 10):
+            s = (c @ c[q]).astype(int)
+            s[q] = -(2**62)
+            best = np.lexsort((ids, -s))[:10]
+            assert found.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+            scored += seen
+        assert scored < most * 20 * 6000
+
+
+def test_products_beyond_double_precision():
+    c = np.array([[2.0**30 + 1, 1.0], [2.0**30 + 3, 5.0]])
+    assert search.dots(c, np.array([2.0**30 + 1, 7.0])).tolist() == [int(a) * (2**30 + 1) + int(b) * 7 for a, b in c]
