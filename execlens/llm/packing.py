@@ -23,6 +23,7 @@ from .textops import text_chunks
 from .tokens import encoder
 
 EOS = 2
+CELL = 1 << 16
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -156,17 +157,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     A null or empty text is its end id alone; a null id stays null; equal rows are packed as often
-    as they occur; an empty table gives no rows.  Only counts per length (capacity numbers) and
-    counts per length and cell are gathered.  Ranks are taken in cells of a length by a hash of the
-    id, so that a length that many pieces share is spread over tasks.
+    as they occur; an empty table gives no rows.  Only counts per length (capacity numbers) are
+    gathered.  Full pieces are sequences of their own and need no place among others; the rank of any
+    other is its place among the pieces of its length in its cell, by a hash of the id, and cells are
+    as many as the pieces of a length need at CELL a cell.
     """
-    p = materialize(pieces(docs, id_col, text_col, capacity, tokenizer, with_ids).withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64)).cast("int")))
-    cells = p.groupBy("length", "cell").agg(F.count("*").alias("n"))
+    p = materialize(pieces(docs, id_col, text_col, capacity, tokenizer, with_ids))
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = layout(pack_histogram(counts, capacity))
+    full = counts.pop(capacity, 0)
+    patterns = pack_histogram(counts, capacity)
+    slots, used = layout(patterns), sum(n for _, n in patterns)
+    cells = F.create_map(*[F.lit(x) for n, c in ({0: 1} | counts).items() for x in (int(n), -(-c // CELL))])
+    some = p.where(F.col("length") < capacity).withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), cells[F.col("length").cast("int")]).cast("int"))
+    of_cell = some.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece"))).join(starts, ["length", "cell"])
+    starts = of_cell.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece"))).join(starts, ["length", "cell"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("first")).drop("cell", "first")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +189,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     names = [c for c in ranked.columns if c != "rank"]
     types = dict(ranked.dtypes)
-    return ranked.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
+    if not full:
+        return placed
+    # any numbers do that no other sequence has: those of rows are unique in a written table
+    alone = p.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + used).withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(alone)

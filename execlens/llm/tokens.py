@@ -40,25 +40,31 @@ class BlankSplit:
     The vocabulary's pre-tokenizer always starts a new piece at a blank that has a non-space
     neighbour, and merges never cross pieces; so the ids of a text are those of its pieces, each
     with the blank before it.  A text with a blank between two spaces is encoded as a whole.
-    Strings of special tokens in a text are ordinary text.
+    A text that holds the string of an added token goes to the tokenizer itself, which gives it
+    that token's id; add_special_tokens=False only keeps it from adding some of its own.
     """
 
     def __init__(self, path: str):
-        self.encode = self._encoder(path)
+        model = json.loads(open(path, encoding="utf-8").read())
+        self.path, self.plain = path, None
+        added = [x["content"] for x in model.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.encode = self._encoder(model)
         self.cache = _Cache(self.encode)
 
-    @staticmethod
-    def _encoder(path: str):
-        model = json.loads(open(path, encoding="utf-8").read())
+    def whole(self, text: str) -> list[int]:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return self.plain.encode(text, add_special_tokens=False).ids
+
+    def _encoder(self, model: dict):
         try:
             import tiktoken
             from public_tokenizers import PATTERN
         except ImportError:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            return lambda text: t.encode(text, add_special_tokens=False).ids
+            return self.whole
         # the same vocabulary as byte ranks: the byte-level alphabet turned back into bytes
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -70,6 +76,8 @@ class BlankSplit:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
+        if self.added and self.added.search(text):
+            return np.array(self.whole(text), "<u4")
         if _UNSAFE.search(text) or text[0] == " " or text[-1] == " ":
             return np.array(self.encode(text), "<u4")
         first, *rest = text.split(" ")

@@ -11,11 +11,10 @@ from tokenizers import Tokenizer
 
 def reference_ids(texts):
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
-ODD = ["", " ", "  a  b \n \n c", "<|endoftext|> x", "　 a 　 b", "a\t b \t c ", " lead", "a b\x85 c \x1c d", "ééé  ", "it's we'll 12 345 ... !?", "a" * 5000, "x \n y", "é   z"]
+ODD = ["", " ", "  a  b \n \n c", "<|endoftext|> x", "hello <|endoftext|> world", "a  <|endoftext|><|endoftext|>\n<|endoftext", "　 a 　 b", "a\t b \t c ", " lead", "a b\x85 c \x1c d", "ééé  ", "it's we'll 12 345 ... !?", "a" * 5000, "x \n y", "é   z"]
 
 
 def test_ids_equal_the_tokenizers():
@@ -47,6 +46,36 @@ def test_histogram_packing_is_whole_and_near_the_bound(counts):
     assert bins <= 1.5 * max(-(-total // 60), sum(v for k, v in counts.items() if k > 30)) + 1
 
 
+def plain_best_fit(lengths, capacity):
+    """Bins, piece by piece: above a third the largest with the largest that fits; then each smaller one into the tightest gap."""
+    large = sorted(x for x in lengths if x > capacity // 3)
+    bins = []
+    while large:
+        a = large.pop()
+        fit = [i for i, x in enumerate(large) if a + x <= capacity]
+        bins.append([a, *([large.pop(fit[-1])] if fit else [])])
+    for x in sorted((x for x in lengths if x <= capacity // 3), reverse=True):
+        room = [b for b in bins if sum(b) + x <= capacity]
+        if room:
+            max(room, key=sum).append(x)
+        else:
+            bins.append([x])
+    return bins
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 59), st.integers(1, 12), max_size=14))
+def test_as_many_sequences_as_piece_by_piece(counts):
+    made = sum(n for _, n in packing.pack_histogram(counts, 60))
+    assert made == len(plain_best_fit([x for x, n in counts.items() for _ in range(n)], 60))
+
+
+def test_cells_of_a_common_length(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 8)
+    texts = ["a b c"] * 70 + ["a " * 7] * 5 + ["a b c d e f g"] * 20
+    check(spark, docs([(i, t, "s") for i, t in enumerate(texts)]), texts, 8)
+
+
 def check(spark, df, texts, capacity):
     rows = packing.pack(df, capacity=capacity, with_ids=True).collect()
     want = sorted([*ids, 2] for ids in reference_ids(texts))
