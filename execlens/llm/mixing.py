@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, join_hot, materialize
 
 CAP = 3
 
@@ -60,6 +60,34 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
+def _beside(rows: DataFrame, per: DataFrame, sources: int, total: int) -> DataFrame:
+    """rows with the columns of their source, by column key."""
+    return rows.join(F.broadcast(per.drop("n")), "key") if sources <= BROADCAST_SOURCES else join_hot(rows, per, ["key"], total).drop("n")
+
+
+def _copies(id_: Column, seed: int, offset: Column) -> Column:
+    """floor(rate) and a draw: a hash of the id, turned by the offset, against the fraction."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_), 11).cast("double") / F.lit(float(1 << 53)) + offset
+    return (F.floor(rate) + F.when(h - F.floor(h) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def plan(sized: DataFrame, seed: int, cap: float) -> tuple[DataFrame, int, int]:
+    """Per source: key, source_size, target, offset and n (rows); the number of sources; the number of rows.  sized is (id, source, size), written."""
+    keyed = sized.withColumn("key", _key(F.col("source")))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    targets = materialize(source_targets(sized, cap=cap).withColumn("key", _key(F.col("source"))).drop("source").join(counts, "key"))
+    sources, total = targets.count(), sized.count()
+    rows = _beside(keyed, targets, sources, total)
+    sums = rows.groupBy("key").agg(*[F.sum(F.col("size") * _copies(F.col("id"), seed, F.lit(k / SEEDS))).alias(f"t{k}") for k in range(SEEDS)], F.first("target").alias("target"))
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k / SEEDS).alias("offset")) for k in range(SEEDS)]))
+    return materialize(targets.join(sums.select("key", best["offset"].alias("offset")), "key")), sources, total
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: float = CAP) -> DataFrame:
     """Per row: id, source, size, source_size, target, copies, taken.
 
@@ -72,34 +100,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     their draw and are counted as often as they occur, an empty table gives an empty result.
     Reruns agree.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    targets = materialize(source_targets(sized, cap=cap).withColumn("key", _key(F.col("source"))).drop("source"))
-    # a row per source: few enough to be sent to all tasks, or else joined by key
-    few = targets.count() <= BROADCAST_SOURCES
-    beside = F.broadcast if few else (lambda df: df)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.withColumn("key", _key(F.col("source"))).join(beside(targets), "key")
-    rows = rows.withColumn("base", F.floor(rate)).withColumn("f", rate - F.floor(rate))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11).cast("double") / F.lit(float(1 << 53)))
-
-    rows = materialize(rows)
-
-    def drawn(offset: Column) -> Column:
-        turned = F.col("h") + offset
-        return F.when(turned - F.floor(turned) < F.col("f"), 1).otherwise(0)
-
-    totals = rows.groupBy("key").agg(*[F.sum(F.col("size") * (F.col("base") + drawn(F.lit(k / SEEDS)))).alias(f"t{k}") for k in range(SEEDS)], F.first("target").alias("target"))
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k / SEEDS).alias("offset")) for k in range(SEEDS)]))
-    out = rows.join(beside(totals.select("key", best["offset"].alias("offset"))), "key").withColumn("copies", (F.col("base") + drawn(F.col("offset"))).cast("int"))
+    sized = _sized(docs, id_col, text_col, source_col)
+    out = _beside(sized.withColumn("key", _key(F.col("source"))), *plan(sized, seed, cap)).withColumn("copies", _copies(F.col("id"), seed, F.col("offset")))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **args) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as in docs."""
-    made = mix(docs, id_col, text_col, source_col, **args).select(F.xxhash64(id_col, source_col, "size").alias("_row"), "copies")
-    # rows that agree in id, source and size are told apart by their place among them
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    own = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.xxhash64(F.col(id_col), F.col(source_col), words(F.col(text_col))).alias("_row")).withColumn("_nth", nth)
-    made = made.withColumn("_nth", nth).where("copies > 0")
-    out = own.join(made, ["_row", "_nth"]).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, cap: float = CAP) -> DataFrame:
+    """The rows of docs, each as often as mix takes it; columns as in docs.
+
+    Copies follow from a row's id and its source's plan, so that texts aren't shuffled.  Nulls, empty texts
+    and repeated rows count as in mix: texts without words are in no one's way and come as often as the
+    rate of their source says; rows of a source without words go; an empty table gives no rows.
+    """
+    at = {c: F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]).withColumn("key", _key(at[source_col]))
+    made = _beside(own, *plan(_sized(docs, id_col, text_col, source_col), seed, cap)).withColumn("copies", _copies(at[id_col], seed, F.col("offset")))
+    out = made.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return out.select(*[x.alias(c) for c, x in at.items()])

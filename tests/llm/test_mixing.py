@@ -47,3 +47,12 @@ def test_odd_rows(spark, docs):
     assert sorted((r.doc_id or 0, r["size"]) for r in got) == [(0, 2), (1, 0), (2, 0), (3, 3), (3, 3)]
     assert mixing.mix(docs([])).collect() == [] and mixing.mixed_rows(docs([])).collect() == []
     assert all(r.taken == 0 for r in mixing.mix(docs([(1, "", "a"), (2, None, None)])).collect())
+
+
+def test_many_sources_and_a_hot_one(spark, docs, monkeypatch):
+    rows = [(i, "a b c", "hot" if i % 2 else f"s{i % 40}") for i in range(400)]
+    want = sorted(map(tuple, mixing.mix(docs(rows)).collect()))
+    taken = sorted(map(tuple, mixing.mixed_rows(docs(rows, extra=True)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix(docs(rows)).collect())) == want and sorted(map(tuple, mixing.mixed_rows(docs(rows, extra=True)).collect())) == taken
+    assert len(taken) == sum(r[5] for r in want)
