@@ -127,9 +127,12 @@ def scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text", as_col:
             for _, texts in text_chunks(batch, text):
                 f, at = features(Words(texts))
                 per_word = w[f].sum(1, dtype=np.float64)
-                total = np.concatenate([[0.0], np.cumsum(per_word)])
                 size = np.diff(at)
-                got.append((total[at[1:]] - total[at[:-1]]) * SCALE / (size + PRIOR_WORDS) + w[-1])
+                # each text's words are summed by themselves, so that neighbours in a batch change no bit
+                total, full = np.zeros(len(size)), size > 0
+                if full.any():
+                    total[full] = np.add.reduceat(per_word, at[:-1][full])
+                got.append(total * SCALE / (size + PRIOR_WORDS) + w[-1])
             s = np.concatenate(got) if got else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], [*batch.schema.names, "_score"])
 
@@ -139,13 +142,17 @@ def scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text", as_col:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row; the label, and all columns but the text, stay out of the score."""
+    """(doc_id, held_out, score, predicted) per row; the label, and all columns but the text, stay out of the score.
+
+    Null, empty and blank texts get the bias's score; rows of null id are scored and in no fold; repeated
+    rows are scored alike; without labelled rows all weights are 0; an empty table gives no rows.
+    """
     w = fit(docs, labels, id_col, text_col)
     out = scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), w)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
+    """The rows of docs that the classifier doesn't reject: those whose score (see classify) is at least CUTOFF."""
     names = docs.columns
     return scores(docs, fit(docs, labels, id_col, text_col), text_col, "_quality").where(F.col("_quality") >= CUTOFF).select(*names)
