@@ -24,7 +24,7 @@ MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member: Spark's text writer puts it after each archive as a line end.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" + "0300" + "00" * 8)
 ARCHIVE_BYTES = 8 << 20
-VERSION_LINE, LENGTH_LINE = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"content-length:[ \t]*(\d+)", re.I)
+VERSION_LINE, LENGTH_LINE = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
 RECORDS = "file string, start long, stop long, status string, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_digest string, full_length long, payload binary"
 
 
@@ -200,8 +200,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write a record per row, read the archives back, and return what the records say."""
+def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, payloads: bool = True) -> DataFrame:
+    """Write a record per row, read the archives back, and return what the records say (with payloads null unless wanted).
+
+    A null payload is empty and a null address blank; a row of null id is a response of record id "null";
+    of rows with equal id and payload each is a response; an empty table gives no rows.
+    """
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession)
     write_archives(plan_records(pages, id_col, uri_col, payload_col, min_bytes), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path, payloads)
