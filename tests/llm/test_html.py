@@ -68,3 +68,47 @@ def test_raw_elements_that_hold_nothing_or_never_end():
     for x in ("button", "object", "audio controls", "video", "canvas"):
         assert got(f"<p>One <{x}>two</p><p>three</p>") == "One two\nthree"
     assert got("<p>One</p><script>var a = '<p>';") == got("<p>One</p><style>p {}") == "One"
+
+
+def test_classes_against_brute_force(spark):
+    """Occurrence vectors written out in full give the same classes and the same template as their hashes."""
+    page = lambda i: "<body><div class=top>Hello</div>" + "<ul>" + "<li>x</li>" * (i % 3) + "</ul>" + ("<div class=odd>o</div>" if i == 4 else "") + ("<section class=s><p>Own text of page %d</p></section>" % i if i % 4 else "") + "<div class=end>Bye</div></body>"
+    for n in (1, 2, 9, 13):
+        pages = [page(i) for i in range(n)]
+        vectors, chars = {}, {}
+        for i, x in enumerate(pages):
+            count, some = html.page_tokens(x)
+            for t, c in count.items():
+                vectors.setdefault(t, [0] * n)[i] = c
+                chars[t] = chars.get(t, 0) + some.get(t, 0)
+        want: dict = {}
+        for t, v in vectors.items():
+            if 2 * sum(c > 0 for c in v) >= n:
+                want.setdefault(tuple(v), set()).add(t)
+        while bad := [v for v, ts in want.items() if any(t and html._parent(t) not in set().union(*want.values()) for t in ts)]:
+            for v in bad:
+                del want[v]
+        tokens = {t: (sum(c > 0 for c in v), hash(tuple(v))) for t, v in vectors.items()}
+        assert {frozenset(ts) for ts in html.valid_classes(tokens, n).values()} == {frozenset(ts) for ts in want.values()}
+        assert not any("odd" in t for ts in want.values() for t in ts) or n < 9
+        if n >= html.SUPPORT:
+            made = html.templates(spark.createDataFrame([(i, f"http://h/{i}", x, i) for i, x in enumerate(pages)], "page_id long, url string, html string, row long")).collect()
+            root, texts = html.template({t: (*x, chars[t]) for t, x in tokens.items()}, n)
+            assert [(r.host, r.n, r.root, sorted(r.texts)) for r in made] == [("h", n, root, sorted(texts))] and root == "body/section.s" and len(texts) == 2
+
+
+def test_nested_lists_stay_in_the_article_and_names_must_say_nothing_else():
+    body = "<div class='tags-explained'>One</div><div class='search-results-intro'>two</div><div class=side>three</div><div class='banner-story'>four</div><p>five <math><mi>x</mi></math></p>"
+    assert html.extract(f"<body><nav>Menu</nav><article>{body}<div class='related-links'>no</div><div class='ad-box-2'>no</div></article></body>") == "One\ntwo\nthree\nfour\nfive x"
+
+
+def test_templates_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3 * (i % 2)}.test/{i}", page(i, f"<article><p>Text {i}</p></article>")) for i in range(40)]
+    want = run(spark, rows)
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    assert run(spark, rows) == want == {i: f"Text {i}" for i in range(40)}
+
+
+def test_a_very_long_page(spark):
+    text = "word " * 200_000
+    assert run(spark, [(1, "http://a/", f"<article><p>{text}</p></article>"), (2, "http://a/", "<article><p>x</p></article>")]) == {1: text.strip(), 2: "x"}
