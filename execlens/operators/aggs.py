@@ -30,40 +30,54 @@ def merged_metrics(df: DataFrame, keys: Sequence[str], count: str, first_at: str
     return df.groupBy(*keys).agg(F.sum(count).alias("count"), F.min(first_at).alias("first_at"), F.max(last_at).alias("last_at"))
 
 
-def budget_rollup(reservations: DataFrame, budgets: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Per scope: spent, reserved, unknown, available.  Any unknown usage makes available null: unknown isn't zero."""
-    settled = F.col("state") == "settled"
-    unknown = settled & F.col("actual").isNull()
+#: Reservations that a scope may hold (fixed value).
+MAX_RESERVATIONS = 10_000
+
+
+def budget_rollup(reservations: DataFrame, budgets: DataFrame, scope: Sequence[str], spent_before: DataFrame | None = None) -> DataFrame:
+    """Per scope of budgets: spent, reserved, unknown, pending, entries, invalid, available.
+
+    reservations are (scope, state, amount, actual); spent_before (scope, spent) holds imported and
+    archived spending.  Reserved and unknown rows are pending and hold their amount.  Any unknown
+    one makes available null: unknown isn't zero; otherwise it is never below 0.  A row of another
+    state, a negative amount, a settled row without an actual amount or a pending one with it is
+    invalid, and then no figure of its scope holds: all are null.
+    """
+    state, amount, actual = F.col("state"), F.col("amount"), F.col("actual")
+    settled, held = F.coalesce(state == "settled", F.lit(False)), F.coalesce(state.isin("reserved", "unknown"), F.lit(False))
+    valid = F.coalesce(amount >= 0, F.lit(False)) & (settled & F.coalesce(actual >= 0, F.lit(False)) | held & actual.isNull())
     r = reservations.groupBy(*scope).agg(
-        F.coalesce(F.sum(F.when(settled, F.col("actual"))), F.lit(0)).alias("spent"),
-        F.coalesce(F.sum(F.when(~settled, F.col("amount"))), F.lit(0)).alias("reserved"),
-        F.count_if(unknown | (F.col("state") == "unknown")).alias("unknown"),
-        F.count_if(F.col("state") == "reserved").alias("pending"),
-    )
-    b = budgets.join(r, list(scope), "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("spent", "reserved", "unknown", "pending")}
-    return b.withColumns(zero).withColumn("available", F.when(F.col("unknown") == 0, F.col("allowance") - F.col("spent") - F.col("reserved")))
-
-
-def budget_label(expired: Column, unknown: Column, pending: Column, available: Column, amount: Column) -> Column:
-    """Precedence: expired, unknown, pending, capacity, exhausted, available."""
+        F.sum(F.when(settled, actual)).alias("spent"), F.sum(F.when(held, amount)).alias("reserved"),
+        *count_where(unknown=state == "unknown", pending=held, entries=F.lit(True), invalid=~valid),
+    )
+    out = budgets.join(r, list(scope), "left")
+    if spent_before is not None:
+        out = out.join(spent_before.groupBy(*scope).agg(F.sum("spent").alias("_before")), list(scope), "left").withColumn("spent", F.coalesce("spent", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_before")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("spent", "reserved", "unknown", "pending", "entries", "invalid")})
+    ok = F.col("invalid") == 0
+    left = F.col("allowance") - F.col("spent") - F.col("reserved")
+    out = out.withColumn("available", F.when(ok & (F.col("unknown") == 0), F.greatest(left, F.lit(0).cast(dict(out.dtypes)["allowance"]))))
+    return out.withColumns({c: F.when(ok, F.col(c)) for c in ("spent", "reserved")})
+
+
+def budget_label(expired: Column, amount: Column, limit: int = MAX_RESERVATIONS) -> Column:
+    """What a scope of budget_rollup says to a request; the first that holds: unknown where a row is invalid, expired, unknown, pending, capacity_exhausted, exhausted, available."""
     return (
-        F.when(expired, "expired").when(unknown > 0, "unknown")
-        .when((pending > 0) & (available < amount), "pending")
-        .when((available > 0) & (available < amount), "capacity")
-        .when(available <= 0, "exhausted").otherwise("available")
+        F.when(F.col("invalid") > 0, "unknown").when(expired, "expired").when(F.col("unknown") > 0, "unknown").when(F.col("pending") > 0, "pending")
+        .when(F.col("entries") >= limit, "capacity_exhausted").when(F.col("spent") + amount > F.col("allowance"), "exhausted").otherwise("available")
     )
 
 
-def logical_digest(df: DataFrame, buckets: int = 256) -> DataFrame:
-    """Order-insensitive SHA-256 over all rows.
+def logical_digest(df: DataFrame) -> DataFrame:
+    """(digest, rows): order-insensitive digest over all rows.
 
-    Row digests are sorted and hashed within buckets of their first byte, and the buckets' digests
-    in order once more, so that no task holds all rows' digests of a large table beyond its bucket.
+    The SHA-256 of each row is cut into eight 32-bit numbers, which are summed each by itself; the
+    digest is the SHA-256 of the eight sums and the number of rows.  Sums need no rows gathered.
     """
-    rows = df.select(F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256).alias("d"))
-    per = rows.groupBy(F.pmod(F.conv(F.substring("d", 1, 2), 16, 10).cast("int"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    d = df.select(F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256).alias("d"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).alias(f"p{i}") for i in range(8)]
+    total = d.agg(*parts, F.count("*").alias("rows"))
+    return total.select(F.sha2(F.concat_ws(",", *[F.col(f"p{i}").cast("decimal(30,0)").cast("string") for i in range(8)], F.col("rows").cast("string")), 256).alias("digest"), "rows")
 
 
 def bounded_count(df: DataFrame, limit: int) -> DataFrame:

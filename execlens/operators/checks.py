@@ -10,12 +10,12 @@ from pyspark.sql.types import StructType
 
 #: The execution states' legal transitions (fixed values).
 TRANSITIONS = {
-    "queued": ("leased", "cancelled", "dead"),
-    "leased": ("running", "queued", "cancelled", "dead"),
-    "running": ("succeeded", "failed", "queued", "cancelled", "dead", "recovery_required"),
-    "recovery_required": ("queued", "failed", "dead", "succeeded"),
+    "queued": ("leased", "cancelled", "dead", "recovery_required"),
+    "leased": ("running", "queued", "cancelled", "dead", "recovery_required"),
+    "running": ("queued", "succeeded", "failed", "timed_out", "cancelled", "dead", "recovery_required"),
+    "recovery_required": ("queued", "cancelled"),
 }
-TERMINAL = ("succeeded", "failed", "cancelled", "dead")
+TERMINAL = ("succeeded", "failed", "timed_out", "cancelled", "dead")
 
 
 def violations(df: DataFrame, invariants: Mapping[str, Column]) -> DataFrame:

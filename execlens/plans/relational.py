@@ -12,9 +12,9 @@ from .catalog import query
 from .scans import NOW
 
 
-@query("join01_inner", "SELECT execution_id, attempt, amount, run_id FROM attempts JOIN executions USING (execution_id) WHERE run_id < 50")
+@query("join01_inner", "SELECT execution_id, attempt, amount, run_id FROM attempts JOIN executions USING (execution_id)")
 def _(spark, d):
-    return V.attempts(spark, d).join(V.executions(spark, d).where("run_id < 50"), "execution_id").select("execution_id", "attempt", "amount", "run_id")
+    return V.attempts(spark, d).join(V.executions(spark, d), "execution_id").select("execution_id", "attempt", "amount", "run_id")
 
 
 @query("join02_two_keys", "SELECT count(*) AS n FROM attempts a JOIN (SELECT execution_id, max(attempt) AS attempt FROM attempts GROUP BY 1) m ON a.execution_id = m.execution_id AND a.attempt = m.attempt")
@@ -35,9 +35,7 @@ def _(spark, d):
 
 @query("join05_not_exists", "SELECT execution_id FROM executions e WHERE state = 'O' AND NOT EXISTS (SELECT 1 FROM attempts a WHERE a.execution_id = e.execution_id AND a.reason = 'R' AND a.shipped > e.created_at)")
 def _(spark, d):
-    V.executions(spark, d).createOrReplaceTempView("x_executions")
-    V.attempts(spark, d).createOrReplaceTempView("x_attempts")
-    return spark.sql("SELECT execution_id FROM x_executions e WHERE state = 'O' AND NOT EXISTS (SELECT 1 FROM x_attempts a WHERE a.execution_id = e.execution_id AND a.reason = 'R' AND a.shipped > e.created_at)")
+    return spark.sql("SELECT execution_id FROM {x} e WHERE state = 'O' AND NOT EXISTS (SELECT 1 FROM {y} a WHERE a.execution_id = e.execution_id AND a.reason = 'R' AND a.shipped > e.created_at)", x=V.executions(spark, d), y=V.attempts(spark, d))
 
 
 @query("join06_exists_with_join", "SELECT execution_id FROM executions e WHERE EXISTS (SELECT 1 FROM attempts a JOIN supplier s ON s.s_suppkey = a.worker WHERE a.execution_id = e.execution_id AND s.s_nationkey < 3)")
@@ -63,9 +61,7 @@ def _(spark, d):
 
 @query("join10_scalar_max", "SELECT run_id, revision, value FROM items i WHERE revision = (SELECT max(revision) FROM items x WHERE x.run_id = i.run_id)")
 def _(spark, d):
-    i = V.items(spark, d)
-    i.createOrReplaceTempView("x_items")
-    return spark.sql("SELECT run_id, revision, value FROM x_items i WHERE revision = (SELECT max(revision) FROM x_items x WHERE x.run_id = i.run_id)")
+    return spark.sql("SELECT run_id, revision, value FROM {items} i WHERE revision = (SELECT max(revision) FROM {items} x WHERE x.run_id = i.run_id)", items=V.items(spark, d))
 
 
 @query("join11_page_lookup", "SELECT e.execution_id, a.attempt FROM (SELECT execution_id FROM executions ORDER BY execution_id LIMIT 100) e LEFT JOIN (SELECT execution_id, max(attempt) AS attempt FROM attempts GROUP BY 1) a USING (execution_id)")
@@ -92,15 +88,15 @@ def _(spark, d):
     return joins.head_of_line(V.events(spark, d), "execution_id", "sequence", F.col("event_type") != "click").select("execution_id", "sequence")
 
 
-@query("join15_watch_cursor", "SELECT w.run_id, e.sequence FROM (SELECT run_id, run_id * 40 AS cursor FROM runs WHERE run_id < 100) w JOIN ev e ON e.execution_id = w.run_id AND e.sequence > w.cursor WHERE e.event_type = 'error'")
+@query("join15_watch_cursor", "SELECT w.run_id, e.sequence FROM (SELECT run_id, run_id * 40 AS cursor FROM runs) w JOIN ev e ON e.execution_id = w.run_id AND e.sequence > w.cursor WHERE e.event_type = 'error'")
 def _(spark, d):
-    w = V.runs(spark, d).where("run_id < 100").select(F.col("run_id").alias("execution_id"), (F.col("run_id") * 40).alias("cursor"))
+    w = V.runs(spark, d).select(F.col("run_id").alias("execution_id"), (F.col("run_id") * 40).alias("cursor"))
     return joins.since_cursor(w, V.events(spark, d).where("event_type = 'error'"), "execution_id", "cursor", "sequence").select(F.col("execution_id").alias("run_id"), "sequence")
 
 
-@query("join16_listed_ids", "SELECT r.run_id, e.execution_id FROM (SELECT run_id FROM runs WHERE run_id < 200) r JOIN executions e ON e.execution_id IN (r.run_id, r.run_id * 2, r.run_id * 3) WHERE e.state = 'F'")
+@query("join16_listed_ids", "SELECT r.run_id, e.execution_id FROM (SELECT DISTINCT run_id, unnest([run_id, run_id * 2, run_id * 3]) AS listed FROM runs) r JOIN executions e ON e.execution_id = r.listed WHERE e.state = 'F'")
 def _(spark, d):
-    r = V.runs(spark, d).where("run_id < 200").select("run_id", F.to_json(F.array_distinct(F.array("run_id", F.col("run_id") * 2, F.col("run_id") * 3))).alias("ids"))
+    r = V.runs(spark, d).select("run_id", F.to_json(F.array_distinct(F.array("run_id", F.col("run_id") * 2, F.col("run_id") * 3))).alias("ids"))
     return joins.listed(r, "ids", "execution_id").join(V.executions(spark, d).where("state = 'F'").select("execution_id"), "execution_id").select("run_id", "execution_id")
 
 
@@ -196,31 +192,37 @@ def _(spark, d):
 
 
 def _budget(spark, d):
-    r = V.executions(spark, d).select("run_id", F.when(F.col("state") == "F", "settled").when(F.col("state") == "O", "reserved").otherwise("unknown").alias("state"), F.col("total").alias("amount"), F.when((F.col("state") == "F"), F.col("total")).alias("actual"))
-    r = r.where("state <> 'unknown' OR amount > 400000")
-    return aggs.budget_rollup(r, V.runs(spark, d).select("run_id", (F.col("allowance") * 1000).cast("decimal(22,2)").alias("allowance")), ["run_id"])
+    state = F.when(F.col("state") == "F", "settled").when(F.col("state") == "O", "reserved").otherwise("unknown")
+    r = V.executions(spark, d).select("execution_id", "run_id", state.alias("state"), F.when(F.col("execution_id") % 1009 == 0, F.lit(-1)).otherwise(F.col("total")).cast("decimal(18,2)").alias("amount"), F.when(F.col("state") == "F", F.col("total")).alias("actual"))
+    # open reservations of every 50th execution only, or hardly a scope would have none
+    r = r.where("state = 'settled' OR execution_id % 50 = 0")
+    before = V.executions(spark, d).where("revision = '5-LOW'").select("run_id", F.col("total").alias("spent"))
+    return aggs.budget_rollup(r, V.runs(spark, d).select("run_id", (F.col("allowance") * 200).cast("decimal(22,2)").alias("allowance")), ["run_id"], before)
 
 
-BUDGET = """SELECT run_id, CAST(allowance * 1000 AS DECIMAL(22,2)) AS allowance, coalesce(spent, 0) AS spent, coalesce(reserved, 0) AS reserved, coalesce(unknown, 0) AS unknown, coalesce(pending, 0) AS pending,
-CASE WHEN coalesce(unknown, 0) = 0 THEN allowance * 1000 - coalesce(spent, 0) - coalesce(reserved, 0) END AS available
-FROM runs LEFT JOIN (SELECT run_id, sum(total) FILTER (state = 'F') AS spent, sum(total) FILTER (state <> 'F') AS reserved, count(*) FILTER (state = 'P') AS unknown, count(*) FILTER (state = 'O') AS pending FROM executions WHERE state <> 'P' OR total > 400000 GROUP BY 1) USING (run_id)"""
+BUDGET = """SELECT run_id, allowance, invalid, CASE WHEN invalid = 0 THEN spent END AS spent, CASE WHEN invalid = 0 THEN reserved END AS reserved, unknown, pending,
+CASE WHEN invalid = 0 AND unknown = 0 THEN greatest(allowance - spent - reserved, 0) END AS available
+FROM (SELECT run_id, CAST(allowance * 200 AS DECIMAL(22,2)) AS allowance, coalesce(r.spent, 0) + coalesce(b.spent, 0) AS spent, coalesce(reserved, 0) AS reserved, coalesce(unknown, 0) AS unknown, coalesce(pending, 0) AS pending, coalesce(invalid, 0) AS invalid
+FROM runs LEFT JOIN (SELECT run_id, sum(total) FILTER (state = 'F') AS spent, sum(CASE WHEN execution_id % 1009 = 0 THEN -1 ELSE total END) FILTER (state <> 'F') AS reserved, count(*) FILTER (state = 'P') AS unknown, count(*) FILTER (state <> 'F') AS pending,
+  count(*) FILTER (execution_id % 1009 = 0) AS invalid FROM executions WHERE state = 'F' OR execution_id % 50 = 0 GROUP BY 1) r USING (run_id)
+LEFT JOIN (SELECT run_id, sum(total) AS spent FROM executions WHERE revision = '5-LOW' GROUP BY 1) b USING (run_id))"""
 
 
-@query("agg14_budget_rollup", f"SELECT run_id, CAST(spent AS DECIMAL(28,2)) AS spent, CAST(reserved AS DECIMAL(28,2)) AS reserved, unknown, CAST(available AS DECIMAL(28,2)) AS available FROM ({BUDGET})")
+@query("agg14_budget_rollup", f"SELECT run_id, CAST(spent AS DECIMAL(28,2)) AS spent, CAST(reserved AS DECIMAL(28,2)) AS reserved, unknown, pending > 0 AS admission_blocked, CAST(available AS DECIMAL(28,2)) AS available FROM ({BUDGET})")
 def _(spark, d):
     money = {c: F.col(c).cast("decimal(28,2)") for c in ("spent", "reserved", "available")}
-    return _budget(spark, d).select("run_id", money["spent"].alias("spent"), money["reserved"].alias("reserved"), F.col("unknown").cast("long").alias("unknown"), money["available"].alias("available"))
+    return _budget(spark, d).select("run_id", money["spent"].alias("spent"), money["reserved"].alias("reserved"), F.col("unknown").cast("long").alias("unknown"), (F.col("pending") > 0).alias("admission_blocked"), money["available"].alias("available"))
 
 
-@query("agg15_budget_status", f"SELECT run_id, CASE WHEN run_id % 13 = 0 THEN 'expired' WHEN unknown > 0 THEN 'unknown' WHEN pending > 0 AND available < 100000 THEN 'pending' WHEN available > 0 AND available < 100000 THEN 'capacity' WHEN available <= 0 THEN 'exhausted' ELSE 'available' END AS status FROM ({BUDGET})")
+@query("agg15_budget_status", f"SELECT run_id, CASE WHEN invalid > 0 THEN 'unknown' WHEN run_id % 13 = 0 THEN 'expired' WHEN unknown > 0 THEN 'unknown' WHEN pending > 0 THEN 'pending' WHEN entries >= 5 THEN 'capacity_exhausted' WHEN spent + 100000 > allowance THEN 'exhausted' ELSE 'available' END AS status FROM ({BUDGET}) LEFT JOIN (SELECT run_id, count(*) AS entries FROM executions WHERE state = 'F' OR execution_id % 50 = 0 GROUP BY 1) USING (run_id)")
 def _(spark, d):
-    b = _budget(spark, d)
-    return b.select("run_id", aggs.budget_label(F.col("run_id") % 13 == 0, F.col("unknown"), F.col("pending"), F.col("available"), F.lit(100000)).alias("status"))
+    # a limit of 5 entries, which some scopes here reach
+    return _budget(spark, d).select("run_id", aggs.budget_label(F.col("run_id") % 13 == 0, F.lit(100000), limit=5).alias("status"))
 
 
-@query("agg16_logical_digest", "SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT substr(d, 1, 2) AS b, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM (SELECT sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS d FROM nation) GROUP BY 1)", views=False)
+@query("agg16_logical_digest", "SELECT sha256(concat_ws(',', " + ", ".join(f"sum(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT))" for i in range(8)) + """, count(*))) AS digest, count(*) AS rows FROM (SELECT sha256('{"execution_id":' || execution_id || ',"run_id":' || run_id || ',"state":"' || state || '"}') AS d FROM executions)""")
 def _(spark, d):
-    return aggs.logical_digest(V.read(spark, d, "nation"))
+    return aggs.logical_digest(V.executions(spark, d).select("execution_id", "run_id", "state"))
 
 
 @query("agg17_kind_amounts", "SELECT kind, count(*) AS n, CAST(sum(allowance) FILTER (allowance >= 0) AS DECIMAL(28,2)) AS amount, bool_and(allowance >= 0) AS complete FROM runs GROUP BY kind")
