@@ -6,36 +6,46 @@ longest path, or with its logarithm where paths are doubled.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FRONTIERS = 8
+
+
 def written(df: DataFrame) -> DataFrame:
     """df on shared storage, its lineage cut."""
-    spark = df.sparkSession
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="execlens-"))
-    path = f"{(base or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    if not base:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="execlens-"))
+        base = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth): what the seeds reach over edges (src, dst), with the fewest steps; safe on cycles."""
-    seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    """(node, depth): what the seeds reach over edges (src, dst), with the fewest steps; safe on cycles.
+
+    Each round writes its frontier alone; what was seen is the union of the frontiers.
+    """
+    seen = frontier = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while not frontier.isEmpty():
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = written(seen.unionByName(frontier))
+        frontier = written(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        # a plan of many frontiers is long to plan: they are written as one now and then
+        seen = seen.unionByName(frontier) if depth % FRONTIERS else written(seen.unionByName(frontier))
     return seen
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-from ..operators import aggs, paging
+from ..operators import aggs, paging, reports
 from . import views as V
 from .catalog import query
 from .mutation import LOG_SQL, log
@@ -14,11 +13,11 @@ from .scans import NOW
 
 
 def health(executions: DataFrame, queue: DataFrame, now: Column) -> DataFrame:
-    """One row: counts by state, due and expired work, queue backlog.  Two passes, one per table."""
+    """One row: counts by state, due and expired work, queue backlog."""
     s, at = F.col("state"), F.col("created_at")
     a = executions.agg(*aggs.count_where(queued=s == "O", running=s == "P", finished=s == "F", due=(s == "O") & (at <= now)))
     b = queue.agg(*aggs.count_where(undelivered=F.col("reason") == "N", dead=F.col("reason") == "R"))
-    return a.crossJoin(F.broadcast(b))  # one row on each side
+    return a.select("*", *[b.select(c).scalar().alias(c) for c in ("undelivered", "dead")])
 
 
 @query("rpt01_store_health", f"SELECT * FROM (SELECT count(*) FILTER (state = 'O') AS queued, count(*) FILTER (state = 'P') AS running, count(*) FILTER (state = 'F') AS finished, count(*) FILTER (state = 'O' AND created_at <= {NOW}) AS due FROM executions), (SELECT count(*) FILTER (reason = 'N') AS undelivered, count(*) FILTER (reason = 'R') AS dead FROM attempts)")
@@ -26,12 +25,39 @@ def _(spark, d):
     return health(V.executions(spark, d), V.attempts(spark, d), F.lit(NOW))
 
 
-@query("rpt02_run_diagnostics", "SELECT e.execution_id, e.state, coalesce(a.attempts, 0) AS attempts, a.last_attempt, CASE WHEN e.state = 'P' AND coalesce(a.returned, 0) > 0 THEN 'returned' WHEN e.state = 'O' THEN 'waiting' END AS blocker FROM executions e LEFT JOIN (SELECT execution_id, count(*) AS attempts, max(attempt) AS last_attempt, count(*) FILTER (reason = 'R') AS returned FROM attempts GROUP BY 1) a USING (execution_id) WHERE e.run_id < 30")
+# the reports' states: O waits for its time, P is leased, F is done; some rows are rare states
+STATE_OF = "CASE WHEN execution_id % 41 = 0 THEN 'recovery_required' WHEN state = 'O' THEN 'queued' WHEN state = 'P' THEN 'leased' WHEN execution_id % 10 = 0 THEN 'timed_out' ELSE 'succeeded' END"
+KERNEL_SQL = f"kernel AS (SELECT execution_id, {STATE_OF} AS state, revision AS registry_revision, created_at AS next_attempt_at, created_at + 30 AS lease_expires_at FROM executions WHERE execution_id % 11 <> 0)"
+
+
+def kernel(spark, d):
+    """What the execution log knows: most registered executions, not all."""
+    return V.executions(spark, d).where("execution_id % 11 <> 0").selectExpr("execution_id", f"{STATE_OF} AS state", "revision AS registry_revision", "created_at AS next_attempt_at", "created_at + 30 AS lease_expires_at")
+
+
+def open_waits(spark, d):
+    return V.items(spark, d).select("run_id", F.when(F.col("revision") % 2 == 0, "open").otherwise("released").alias("state"))
+
+
+WAITS_SQL = "waits AS (SELECT run_id, count(*) FILTER (revision % 2 = 0) AS open_waits FROM items GROUP BY 1)"
+
+
+@query("rpt02_run_diagnostics", f"""WITH {KERNEL_SQL}, {WAITS_SQL},
+tasks AS (SELECT run_id, execution_id AS task_id, execution_id, lag(execution_id) OVER (PARTITION BY run_id ORDER BY execution_id) AS need FROM executions),
+j AS (SELECT t.run_id, t.task_id, t.execution_id, k.state, k.next_attempt_at, k.lease_expires_at, k.execution_id IS NOT NULL AS known, need IS NOT NULL AND coalesce(n.state NOT IN ('succeeded', 'failed', 'timed_out', 'cancelled', 'dead'), true) AS unmet,
+  row_number() OVER (PARTITION BY t.run_id ORDER BY t.task_id) AS rank FROM tasks t LEFT JOIN kernel k ON k.execution_id = t.execution_id LEFT JOIN kernel n ON n.execution_id = t.need),
+n AS (SELECT run_id, count(*) AS n, count(*) FILTER (state IN ('succeeded', 'failed', 'timed_out', 'cancelled', 'dead')) AS settled FROM j GROUP BY 1)
+SELECT run_id, CAST(rank AS INTEGER) AS rank, task_id, execution_id, state, CAST(unmet AS BIGINT) AS unmet,
+CASE WHEN NOT known THEN 'execution_not_observed' WHEN state IN ('succeeded', 'failed', 'timed_out', 'cancelled', 'dead') THEN NULL WHEN unmet THEN 'dependencies' WHEN state = 'recovery_required' THEN 'recovery_required'
+  WHEN state = 'queued' AND next_attempt_at > {NOW} THEN 'retry_backoff' WHEN state IN ('leased', 'running') AND lease_expires_at <= {NOW} THEN 'expired_lease' WHEN state IN ('leased', 'running') THEN 'running' WHEN state = 'queued' THEN 'claimable' END AS blocker,
+CASE WHEN n <= 15 THEN n END AS tasks, CAST(least(n, 15) AS BIGINT) AS tasks_at_least, settled, coalesce(open_waits, 0) AS open_waits, n > 10 AS has_more
+FROM j JOIN n USING (run_id) LEFT JOIN waits USING (run_id) WHERE rank <= 10""")
 def _(spark, d):
-    a = V.attempts(spark, d).groupBy("execution_id").agg(F.count("*").alias("n"), F.max("attempt").alias("last_attempt"), F.count_if(F.col("reason") == "R").alias("returned"))
-    j = V.executions(spark, d).where("run_id < 30").join(a, "execution_id", "left")
-    blocker = F.when((F.col("state") == "P") & (F.coalesce("returned", F.lit(0)) > 0), "returned").when(F.col("state") == "O", "waiting")
-    return j.select("execution_id", "state", F.coalesce("n", F.lit(0)).cast("long").alias("attempts"), "last_attempt", blocker.alias("blocker"))
+    from pyspark.sql import Window
+
+    before = F.lag("execution_id").over(Window.partitionBy("run_id").orderBy("execution_id"))
+    tasks = V.executions(spark, d).select("run_id", F.col("execution_id").alias("task_id"), "execution_id", F.array_compact(F.array(before)).alias("dependencies"))
+    return reports.run_diagnostics(tasks, kernel(spark, d), open_waits(spark, d), F.lit(NOW), task_limit=10, count_limit=15)
 
 
 @query("rpt03_cancellation_evidence", f"WITH {LOG_SQL}, c AS (SELECT execution_id, min(sequence) FILTER (to_state = 'failed') AS intent, max(sequence) FILTER (to_state = 'succeeded') AS result, max(sequence) FILTER (to_state = 'running') AS run FROM log GROUP BY 1) SELECT execution_id, intent, result, CASE WHEN intent IS NULL THEN 'not requested' WHEN result > intent THEN 'finished after' WHEN run > intent THEN 'still running' ELSE 'confirmed' END AS evidence FROM c")
@@ -86,13 +112,37 @@ def _(spark, d):
     return V.executions(spark, d).groupBy("run_id").agg(*aggs.count_where(running=s == "P", queued=s == "O"), (F.count_if(s != "F") == 0).alias("disposable"))
 
 
-@query("rpt09_work_availability", f"SELECT r.run_id, count(e.execution_id) FILTER (e.state = 'O' AND e.created_at <= {NOW}) AS claimable, min(e.created_at) FILTER (e.state = 'O' AND e.created_at > {NOW}) AS next_due, count(e.execution_id) FILTER (e.state = 'P' AND a.execution_id IS NULL) AS missing FROM runs r LEFT JOIN executions e USING (run_id) LEFT JOIN (SELECT DISTINCT execution_id FROM attempts) a USING (execution_id) GROUP BY 1")
+CLAIMED = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
+@query("rpt09_work_availability", f"""WITH {KERNEL_SQL}, {WAITS_SQL},
+k AS (SELECT e.run_id, e.execution_id, k.* EXCLUDE (execution_id), k.execution_id IS NULL AS missing FROM executions e LEFT JOIN kernel k USING (execution_id)),
+c AS (SELECT run_id, count(*) FILTER (state = 'queued' AND next_attempt_at <= {NOW}) AS queued_ready, count(*) FILTER (state = 'queued' AND next_attempt_at <= {NOW} AND registry_revision IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS claimable_now,
+  count(*) FILTER (state IN ('leased', 'running') AND lease_expires_at > {NOW}) AS active_leases, count(*) FILTER (state IN ('leased', 'running') AND lease_expires_at <= {NOW}) AS expired_leases,
+  count(*) FILTER (state = 'queued' AND next_attempt_at > {NOW}) AS retry_backoff, count(*) FILTER (state = 'recovery_required') AS recovery_required,
+  count(*) FILTER (state IN ('succeeded', 'failed', 'timed_out', 'cancelled', 'dead')) AS to_sync, count(*) FILTER (missing) AS missing,
+  min(next_attempt_at) FILTER (state = 'queued' AND next_attempt_at > {NOW}) AS next_retry, min(lease_expires_at) FILTER (state IN ('leased', 'running') AND lease_expires_at > {NOW}) AS next_expiry FROM k GROUP BY 1),
+o AS (SELECT execution_id AS run_id, count(*) FILTER (event_type <> 'purchase') AS pending_commands FROM ev GROUP BY 1),
+r AS (SELECT run_id, count(*) FILTER (reason <> 'N') AS pending_delivery FROM executions JOIN attempts USING (execution_id) WHERE attempt = 1 GROUP BY 1),
+x AS (SELECT count(*) <= 1000 AS ok FROM attempts WHERE attempt = 7),
+f AS (SELECT run_id, count(*) AS unknown_effects FROM executions JOIN attempts USING (execution_id) WHERE attempt = 7 AND reason = 'R' GROUP BY 1),
+t AS (SELECT run_id, count(*) AS tasks FROM items GROUP BY 1),
+a AS (SELECT runs.run_id, CASE WHEN runs.run_id % 17 = 0 THEN 'succeeded' ELSE 'running' END AS state, coalesce(queued_ready, 0) AS queued_ready, coalesce(claimable_now, 0) AS claimable_now, coalesce(active_leases, 0) AS active_leases, coalesce(expired_leases, 0) AS expired_leases,
+  coalesce(retry_backoff, 0) AS retry_backoff, coalesce(recovery_required, 0) AS recovery_required, coalesce(to_sync, 0) AS to_sync, coalesce(missing, 0) AS missing, coalesce(pending_commands, 0) AS pending_commands, coalesce(pending_delivery, 0) AS pending_delivery,
+  CASE WHEN ok THEN coalesce(unknown_effects, 0) END AS unknown_effects, coalesce(tasks, 0) AS tasks, coalesce(open_waits, 0) AS open_waits, next_retry, least(next_retry, next_expiry) AS next_hint, ok
+  FROM runs LEFT JOIN c USING (run_id) LEFT JOIN o USING (run_id) LEFT JOIN r USING (run_id) LEFT JOIN f USING (run_id) LEFT JOIN t USING (run_id) LEFT JOIN waits USING (run_id) CROSS JOIN x)
+SELECT run_id, state, queued_ready, claimable_now, active_leases, expired_leases, retry_backoff, recovery_required, missing, pending_commands, pending_delivery, unknown_effects, tasks, open_waits, CASE WHEN missing = 0 THEN to_sync END AS pending_sync, next_retry, next_hint,
+concat_ws(',', CASE WHEN state = 'succeeded' THEN 'terminal_run' END, CASE WHEN tasks = 0 THEN 'no_tasks' END, CASE WHEN claimable_now > 0 THEN 'claimable_now' END, CASE WHEN queued_ready > claimable_now THEN 'binding_mismatch' END, CASE WHEN active_leases > 0 THEN 'active_leases' END,
+  CASE WHEN expired_leases > 0 THEN 'expired_leases_pending_reap' END, CASE WHEN retry_backoff > 0 THEN 'retry_backoff' END, CASE WHEN pending_commands > 0 THEN 'pending_commands' END, CASE WHEN to_sync > 0 THEN 'pending_result_sync' END, CASE WHEN pending_delivery > 0 THEN 'pending_result_delivery' END,
+  CASE WHEN open_waits > 0 THEN 'application_wait' END, CASE WHEN recovery_required > 0 THEN 'recovery_required' END, CASE WHEN unknown_effects > 0 THEN 'unknown_effects' END, CASE WHEN missing > 0 THEN 'execution_not_observed' END, CASE WHEN NOT ok THEN 'effect_scan_limit_exceeded' END) AS reasons, ok AND missing = 0 AS complete FROM a""")
 def _(spark, d):
-    seen = V.attempts(spark, d).select("execution_id").distinct().withColumn("_seen", F.lit(True))
-    s, at = F.col("state"), F.col("created_at")
-    e = V.executions(spark, d).join(seen, "execution_id", "left").groupBy("run_id").agg(*aggs.count_where(claimable=(s == "O") & (at <= NOW), missing=(s == "P") & F.col("_seen").isNull()), F.min(F.when((s == "O") & (at > NOW), at)).alias("next_due"))
-    j = V.runs(spark, d).select("run_id").join(e, "run_id", "left")
-    return j.select("run_id", F.coalesce("claimable", F.lit(0)).cast("long").alias("claimable"), "next_due", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
+    e, a, items = V.executions(spark, d), V.attempts(spark, d), V.items(spark, d)
+    runs = V.runs(spark, d).select("run_id", F.when(F.col("run_id") % 17 == 0, "succeeded").otherwise("running").alias("state"))
+    commands = V.events(spark, d).select(F.col("execution_id").alias("run_id"), (F.col("event_type") == "purchase").alias("delivered"))
+    results = a.where("attempt = 1").select("execution_id", F.when(F.col("reason") == "N", "delivered").otherwise("pending").alias("state"))
+    effects = a.where("attempt = 7").select("execution_id", F.when(F.col("reason") == "R", "indeterminate").otherwise("committed").alias("state"))
+    got = reports.work_availability(runs, e, kernel(spark, d), commands, results, effects, items.select("run_id"), open_waits(spark, d), F.lit(NOW), CLAIMED)
+    return got.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("rpt10_execution_observation", "SELECT execution_id, event_type, count(*) AS count, min(sequence) AS first_at, max(sequence) AS last_at, CASE WHEN max(sequence) >= 9000 THEN 'observed' ELSE 'unknown' END AS seen FROM ev GROUP BY ALL")

@@ -1,12 +1,13 @@
 """Operators on small fixtures: zero fill, ties, nulls, unknowns, and replays against plain Python."""
 
+import json
 import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from execlens.functions import exprs as X
-from execlens.operators import aggs, checks, dedup, fold, graph, history, joins, paging
+from execlens.operators import aggs, checks, dedup, fold, graph, history, joins, paging, reports
 
 
 def rows(df):
@@ -30,10 +31,19 @@ def test_backoff_overflow_and_shortcuts(spark):
 
 
 def test_budget_unknown_is_not_zero(spark):
-    r = spark.createDataFrame([("r", "settled", 5, 7), ("r", "reserved", 4, None), ("s", "unknown", 3, None), ("t", "settled", 2, None)], "run string, state string, amount long, actual long")
-    b = spark.createDataFrame([("r", 20), ("s", 20), ("t", 20), ("u", 20)], "run string, allowance long")
-    got = {x.run: (x.spent, x.reserved, x.unknown, x.available) for x in aggs.budget_rollup(r, b, ["run"]).collect()}
-    assert got == {"r": (7, 4, 0, 9), "s": (0, 3, 1, None), "t": (0, 0, 1, None), "u": (0, 0, 0, 20)}
+    r = spark.createDataFrame(
+        [("r", "settled", 5, 7), ("r", "reserved", 4, None), ("s", "unknown", 3, None), ("s", "reserved", 2, None), ("o", "settled", 1, 90), ("x", "settled", 2, None), ("y", "reserved", 2, 1), ("z", "gone", 2, None), ("w", "reserved", -1, None), ("e", "settled", 1, 1)],
+        "run string, state string, amount long, actual long",
+    )
+    b = spark.createDataFrame([(x, 20) for x in "rsuoxyzwe"], "run string, allowance long")
+    before = spark.createDataFrame([("u", 5), ("u", 6), ("e", 15)], "run string, spent long")
+    got = aggs.budget_rollup(r, b, ["run"], before)
+    seen = {x.run: (x.spent, x.reserved, x.unknown, x.pending, x.available) for x in got.collect()}
+    assert seen == {"r": (7, 4, 0, 1, 9), "s": (0, 5, 1, 2, None), "u": (11, 0, 0, 0, 9), "o": (90, 0, 0, 0, 0), "e": (16, 0, 0, 0, 4)} | {x: (None, None, 0, int(x in "yw"), None) for x in "xyzw"}
+    label = lambda amount, limit=10_000, late=False: dict(got.select("run", aggs.budget_label(F.lit(late), F.lit(amount), limit)).collect())
+    assert label(4) == {"r": "pending", "s": "unknown", "u": "available", "o": "exhausted", "e": "available"} | dict.fromkeys("xyzw", "unknown")
+    assert label(5)["e"] == "exhausted" and label(4, 1)["e"] == "capacity_exhausted" and label(4, 1)["r"] == "pending"
+    assert label(1, late=True) == dict.fromkeys("rsuoe", "expired") | dict.fromkeys("xyzw", "unknown")
 
 
 def test_bounded_count(spark):
@@ -161,8 +171,6 @@ def test_integrity(spark):
 def test_folds(spark):
     ev = spark.createDataFrame([("e", 2, "running", 3.0), ("e", 0, "queued", 1.0), ("e", 1, "leased", 9.0)], "execution_id string, revision long, to_state string, created_at double")
     assert rows(fold.fold_executions(ev)) == [("e", "running", 2, 3, 1.0, 9.0)]
-    ops = spark.createDataFrame([("r", 2, "dispatch", '{"task_id":"t"}'), ("r", 1, "add_task", '{"task_id":"t"}'), ("r", 4, "set_state", '{"state":"done"}'), ("r", 3, "settle", '{"task_id":"t","state":"succeeded"}')], "run_id string, revision long, kind string, data string")
-    assert rows(fold.replay_operations(ops)) == [("r", 4, "done", '{"tasks":{"t":{"attempts":1,"dependencies":[],"state":"succeeded"}},"values":{}}')]
     ex = spark.createDataFrame([("a", "dead", "x"), ("b", "dead", None), ("c", "queued", "x"), ("d", "queued", None), ("e", "dead", "x")], "execution_id string, state string, result_json string")
     ob = spark.createDataFrame([("a",), ("d",), ("z",)], "execution_id string")
     assert {i for i, _ in rows(fold.terminal_mismatch(ex, ob, ["dead"]))} == {"b", "c", "d", "e", "z"}
@@ -185,3 +193,95 @@ def test_revision_impact_covers_all_ids(spark, sf_dir):
             want.add(i)
     got = {r.task_id for r in QUERIES["gra05_revision_impact"](spark, sf_dir).collect()}
     assert max(ids) >= 4000 and got >= {i for i in want if i >= 4000} and {i for i in hit if i >= 4000} <= got
+
+
+def test_every_transition(spark):
+    """All 81 pairs of states; the legal ones are written out."""
+    states = ["queued", "leased", "running", "succeeded", "failed", "timed_out", "cancelled", "dead", "recovery_required"]
+    legal = {
+        "queued": {"leased", "cancelled", "dead", "recovery_required"},
+        "leased": {"running", "queued", "cancelled", "dead", "recovery_required"},
+        "running": set(states) - {"leased", "running"},
+        "recovery_required": {"queued", "cancelled"},
+    }
+    ev = spark.createDataFrame([(a, b) for a in states for b in states], "from_state string, to_state string")
+    assert {(a, b) for a, b, _ in rows(checks.illegal_transitions(ev))} == {(a, b) for a in states for b in states if b not in legal.get(a, ())}
+    assert set(checks.TERMINAL) == set(states) - legal.keys()
+
+
+def replay(spark, *ops):
+    df = spark.createDataFrame([("r", i, o["kind"], json.dumps({k: v for k, v in o.items() if k != "kind"})) for i, o in enumerate(ops)], "run_id string, revision long, kind string, data string")
+    r = fold.replay_operations(df.repartition(3)).first()
+    return r.state, json.loads(r.document), {x.revision: x.reason for x in r.rejected}
+
+
+def test_replay_of_the_ten_kinds(spark):
+    op = lambda kind, **fields: {"kind": kind} | fields
+    state, doc, rejected = replay(
+        spark,
+        op("add_task", task_id="a", command="x"), op("add_task", task_id="b", command="y"), op("set_dependencies", task_id="b", dependencies=["a"]), op("dispatch", task_id="a"),
+        op("watch_task", task_id="a", watch_id="w", target="t", max_deliveries=3), op("wait", wait_id="q", payload=1), op("signal", signal_id="s", payload={"v": 2}), op("result", task_id="a", state="failed"),
+        op("new_attempt", task_id="a", command="z"), op("cancel", task_id="a", reason="stop"), op("dispatch", task_id="b"), op("cancel", task_id="b", reason="late"), op("result", task_id="b", state="timed_out"),
+        op("release_wait", wait_id="q"), op("finish", state="failed"),
+    )
+    assert (state, rejected) == ("failed", {})
+    assert doc["tasks"]["a"]["attempts"] == [{"command": "x", "state": "failed"}, {"command": "z", "state": "cancelled", "reason": "stop"}]
+    assert doc["tasks"]["b"] == {"dependencies": ["a"], "attempts": [{"command": "y", "state": "timed_out", "cancel_requested": "late"}]}
+    assert doc["waits"] == {"q": {"state": "released", "payload": 1}} and doc["signals"] == {"s": {"v": 2}}
+    assert doc["watches"] == {"w": {"task_id": "a", "attempt": 0, "target": "t", "max_deliveries": 3}}
+
+
+def test_replay_guards(spark):
+    op = lambda kind, **fields: {"kind": kind} | fields
+    state, doc, rejected = replay(
+        spark,
+        op("add_task", task_id="a"), op("add_task", task_id="a"), op("add_task", task_id="b", dependencies=["a", "a"]), op("add_task", task_id="b", dependencies=["b"]), op("add_task", task_id="b", dependencies=["no"]),
+        op("add_task", task_id="b", dependencies=["a"]), op("set_dependencies", task_id="a", dependencies=["b"]), op("dispatch", task_id="b"), op("dispatch", task_id="no"), op("new_attempt", task_id="a"),
+        op("dispatch", task_id="a"), op("dispatch", task_id="a"), op("set_dependencies", task_id="a", dependencies=[]), op("wait", wait_id="q"), op("wait", wait_id="q"), op("release_wait", wait_id="no"), op("finish", state="done"),
+        op("finish", state="failed"), op("signal", signal_id="s", payload=1), op("signal", signal_id="s", payload=1), op("settle", task_id="a"), op("signal", signal_id="x"), op("result", task_id="a", state="succeeded"), op("cancel", task_id="b", reason="r"),
+        op("finish", state="cancelled"), op("release_wait", wait_id="q"), op("finish", state="cancelled"), op("signal", signal_id="y", payload=1),
+    )
+    assert state == "cancelled" and doc["tasks"]["b"]["attempts"][0]["state"] == "cancelled"
+    assert rejected == {
+        1: "task exists", 2: "duplicate or self dependency", 3: "duplicate or self dependency", 4: "unknown dependency", 6: "dependency cycle", 7: "dependencies have not settled", 8: "unknown task", 9: "current attempt is open",
+        11: "not planned", 12: "dispatched before", 14: "wait exists", 15: "wait is not open", 16: "no terminal state", 17: "open tasks", 19: "signal exists", 20: "unknown kind", 21: "wrong fields", 24: "open waits", 27: "run is over",
+    }
+
+
+def availability(spark, **args):
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    got = reports.work_availability(
+        frame([("m", "running"), ("n", "succeeded")], "run_id string, state string"),
+        frame([("m", e) for e in "abcdefgh"], "run_id string, execution_id string"),
+        frame([("a", "queued", "v1", 5.0, None), ("b", "queued", "v2", 5.0, None), ("c", "queued", "v1", 50.0, None), ("d", "leased", "v1", 0.0, 30.0), ("e", "running", "v1", 0.0, 9.0), ("f", "recovery_required", "v1", 0.0, None), ("g", "timed_out", "v1", 0.0, None), ("z", "queued", "v1", 0.0, None)], "execution_id string, state string, registry_revision string, next_attempt_at double, lease_expires_at double"),
+        frame([("m", False), ("m", True)], "run_id string, delivered boolean"), frame([("g", "dead"), ("z", "pending")], "execution_id string, state string"),
+        frame([("a", "performing"), ("b", "indeterminate"), ("c", "committed")], "execution_id string, state string"), frame([("m",)], "run_id string"), frame([("m", "open"), ("m", "released")], "run_id string, state string"),
+        F.lit(10.0), **args,
+    )
+    return {r.run_id: r.asDict() for r in got.collect()}
+
+
+def test_work_availability(spark):
+    got = availability(spark, revisions=["v1"])
+    m = got["m"]
+    assert {k: m[k] for k in ("claimable_now", "queued_ready", "active_leases", "expired_leases", "retry_backoff", "recovery_required", "missing", "pending_commands", "pending_delivery", "unknown_effects", "tasks", "open_waits")} == {
+        "claimable_now": 1, "queued_ready": 2, "active_leases": 1, "expired_leases": 1, "retry_backoff": 1, "recovery_required": 1, "missing": 1, "pending_commands": 1, "pending_delivery": 1, "unknown_effects": 2, "tasks": 1, "open_waits": 1,
+    }
+    assert m["pending_sync"] is None and m["next_retry"] == 50.0 and m["next_hint"] == 30.0 and not m["complete"]
+    assert m["reasons"] == ["claimable_now", "binding_mismatch", "active_leases", "expired_leases_pending_reap", "retry_backoff", "pending_commands", "pending_result_sync", "pending_result_delivery", "application_wait", "recovery_required", "unknown_effects", "execution_not_observed"]
+    assert got["n"]["reasons"] == ["terminal_run", "no_tasks"] and got["n"]["complete"] and got["n"]["pending_sync"] == 0
+    unchecked = availability(spark)["m"]
+    assert unchecked["claimable_now"] is None and unchecked["queued_ready"] == 2 and "binding_not_checked" in unchecked["reasons"]
+    bound = availability(spark, revisions=["v1"], effect_scan_limit=2)
+    assert bound["m"]["unknown_effects"] is None and "effect_scan_limit_exceeded" in bound["n"]["reasons"] and not bound["n"]["complete"]
+    assert availability(spark, effect_scan_limit=3)["m"]["unknown_effects"] == 2 and "effects_not_checked" in availability(spark, effect_scan_limit=0)["n"]["reasons"]
+
+
+def test_run_diagnostics(spark):
+    tasks = spark.createDataFrame([("m", "t1", "a", []), ("m", "t2", "b", ["t1"]), ("m", "t3", "c", ["t1", "t2"]), ("m", "t4", "d", None), ("n", "t1", "x", [])], "run_id string, task_id string, execution_id string, dependencies array<string>")
+    e = spark.createDataFrame([("a", "succeeded", 0.0, None), ("b", "queued", 50.0, None), ("c", "queued", 0.0, None), ("d", "leased", 0.0, 5.0)], "execution_id string, state string, next_attempt_at double, lease_expires_at double")
+    waits = spark.createDataFrame([("m", "open")], "run_id string, state string")
+    got = {(r.run_id, r.task_id): r for r in reports.run_diagnostics(tasks, e, waits, F.lit(10.0), task_limit=3, count_limit=3).collect()}
+    assert {k: r.blocker for k, r in got.items()} == {("m", "t1"): None, ("m", "t2"): "retry_backoff", ("m", "t3"): "dependencies", ("n", "t1"): "execution_not_observed"}
+    assert (got["m", "t1"].tasks, got["m", "t1"].tasks_at_least, got["m", "t1"].has_more, got["m", "t1"].open_waits, got["m", "t1"].settled) == (None, 3, True, 1, 1)
+    assert (got["n", "t1"].tasks, got["n", "t1"].has_more) == (1, False) and got["m", "t3"].unmet == 1
