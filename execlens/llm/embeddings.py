@@ -3,9 +3,10 @@
 Vectors are rotated by fast Hadamard transforms with random signs; a hash is the axis (with sign)
 nearest to the rotated vector, and a bucket key joins several hashes with the label.  Each vector
 also goes to the buckets of its next best axes (multiprobe), where it meets those that live there.
-Pairs that meet in a bucket are verified by their exact cosine; components of verified pairs are
-then compared within, block by block, so that each link is counted once.  Equal vectors of a label
-are one class with a count, which is hashed and compared once.
+Buckets hold sketches (a byte a component, and how far the sketch is off), which drop the pairs that
+can't reach the threshold.  What is left forms clusters, whose members meet once more with their
+vectors, block by block, where every pair is verified by its exact cosine.  Equal vectors of a
+label are one class with a count, which is hashed and compared once.
 """
 
 from __future__ import annotations
@@ -118,42 +119,64 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     keys = materialize(good.mapInArrow(keyed, "key long, rep long, home boolean"))
     # a bucket where nobody lives brings only visitors together
     full = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("lived_in")).where("n > 1 AND lived_in").drop("lived_in")
-    met = join_hot(keys.select("key", "rep"), full, ["key"], keys.count()).distinct()
-    dealt = deal(met.join(good.select("rep", "v", "label"), "rep"), F.ceil(F.col("n") / BLOCK), "rep").select("key", "lo", "hi", "own", "rep", "label", "v")
-
-    def compare(count: bool, group: str):
-        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            lo, hi, own, ids, of = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "label"))
-            copies = t.column("copies").to_numpy() if count else None
-            size = np.diff(t.column("v").combine_chunks().offsets.to_numpy())
-            u = _unit(_rows(t.column("v")))
-            label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-            for i, j in index_pairs(group_starts(t.column(group).to_numpy(), lo, hi), lo, hi, own):
-                ok = (of[i] == of[j]) & (size[i] == size[j])
-                i, j = i[ok], j[ok]
-                ok = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
-                i, j = i[ok], j[ok]
-                if count:
-                    np.add.at(links, i, copies[j])
-                    np.add.at(links, j, copies[i])
-                else:
-                    label = join_labels(label, i, j)
-            if count:
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at])], ["rep", "links"])
-            else:
-                at = np.flatnonzero(label != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["a", "b"])
-
-        return run
-
-    groups = materialize(components(map_groups(dealt, ["key", "lo", "hi"], compare(False, "key"), "a long, b long")).select(F.col("node").alias("rep"), F.col("component").alias("component_id")))
-    sizes = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    within = deal(groups.join(sizes, "component_id").join(good, "rep"), F.col("k"), "rep").select("component_id", "lo", "hi", "own", "rep", "copies", "label", "v")
-    counts = map_groups(within, ["component_id", "lo", "hi"], compare(True, "component_id"), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    met = join_hot(keys.select("key", "rep"), full, ["key"], keys.count())
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = _unit(_rows(b.column("v")))
+            size = np.diff(b.column("v").offsets.to_numpy())
+            step = np.abs(u).max(1) / 127
+            s = np.rint(u / step[:, None]).astype(np.int8)
+            off = np.sqrt(((u - s * step[:, None]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), pa.array([x[:n].tobytes() for x, n in zip(s, size)], pa.binary()), pa.array(step), pa.array(off)], ["rep", "label", "s", "step", "off"])
+
+    sketches = good.select("rep", "label", "v").mapInArrow(sketched, "rep long, label long, s binary, step double, off double")
+    dealt = deal(met.join(sketches, "rep"), F.ceil(F.col("n") / BLOCK), "rep").select("key", "lo", "hi", "own", "rep", "label", "s", "step", "off")
+
+    def near(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lo, hi, own, ids, of, step, off = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "label", "step", "off"))
+        raw = t.column("s").to_pylist()
+        size = np.array([len(x) for x in raw])
+        u = np.zeros((len(raw), int(size.max())), np.float32)
+        u[np.repeat(np.arange(len(raw)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer(b"".join(raw), np.int8)
+        label = np.arange(len(ids))
+        for i, j in index_pairs(group_starts(t.column("key").to_numpy(), lo, hi), lo, hi, own):
+            ok = (of[i] == of[j]) & (size[i] == size[j])
+            i, j = i[ok], j[ok]
+            # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, and rounding
+            least = threshold - off[i] - (1 + off[i]) * off[j] - 1e-4
+            ok = np.einsum("ij,ij->i", u[i], u[j]) * step[i] * step[j] >= least
+            label = join_labels(label, i[ok], j[ok])
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["a", "b"])
+
+    def verify(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lo, hi, own, ids, of, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "rep", "label", "copies"))
+        size = np.diff(t.column("v").combine_chunks().offsets.to_numpy())
+        u = _unit(_rows(t.column("v")))
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for i, j in index_pairs(group_starts(t.column("component").to_numpy(), lo, hi), lo, hi, own):
+            ok = (of[i] == of[j]) & (size[i] == size[j])
+            i, j = i[ok], j[ok]
+            ok = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
+            i, j = i[ok], j[ok]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            label = join_labels(label, i, j)
+        at = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[label[at]])], ["rep", "links", "other"])
+
+    clusters = materialize(components(map_groups(dealt, ["key", "lo", "hi"], near, "a long, b long")).select(F.col("node").alias("rep"), "component"))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    within = deal(clusters.join(sizes, "component").join(good, "rep"), F.col("k"), "rep").select("component", "lo", "hi", "own", "rep", "copies", "label", "v")
+    found = materialize(map_groups(within, ["component", "lo", "hi"], verify, "rep long, links long, other long"))
+    groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     about = classes.join(groups, "rep", "left").join(counts, "rep", "left")
     about = materialize(about.select("a", "b", "n", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    release(keys, good, groups)
+    release(keys, good, clusters, found)
     linked = join_hot(narrow, about, ["a", "b"], narrow.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

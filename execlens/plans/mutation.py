@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import checks, dedup, fold, graph, history
+from ..operators import checks, dedup, fold, graph, history, queues
 from . import views as V
 from .catalog import query
 from .scans import NOW
@@ -51,9 +51,11 @@ def _(spark, d):
     return history.upsert(old, i.where("revision > 2").select("run_id", "item_key", "revision"), ["run_id", "item_key"], "revision")
 
 
-@query("dml04_clock_upsert", "SELECT execution_id, greatest(max(sequence), 5000) AS clock FROM ev GROUP BY 1")
+@query("dml04_clock_upsert", "SELECT execution_id, CASE WHEN execution_id % 2 = 0 THEN greatest(max(sequence), 5000) ELSE max(sequence) END AS clock FROM ev GROUP BY 1")
 def _(spark, d):
-    return V.events(spark, d).groupBy("execution_id").agg(F.greatest(F.max("sequence"), F.lit(5000).cast("long")).alias("clock"))
+    observed = V.events(spark, d).select("execution_id", F.col("sequence").alias("clock"))
+    clocks = observed.where("execution_id % 2 = 0").select("execution_id", F.lit(5000).cast("long").alias("clock")).distinct()
+    return queues.clock_upsert(clocks, observed, "execution_id", "clock")
 
 
 @query("dml05_revision_gaps", "SELECT run_id, revision FROM (SELECT *, lag(revision) OVER (PARTITION BY run_id ORDER BY revision) AS p FROM items WHERE (run_id + revision) % 9 <> 0) WHERE revision <> p + 1")
@@ -68,8 +70,7 @@ def _(spark, d):
 
 @query("dml07_lease_grants", f"WITH {LOG_SQL} SELECT execution_id, sequence, count(*) OVER (PARTITION BY execution_id ORDER BY sequence) AS fence FROM log WHERE to_state = 'leased'")
 def _(spark, d):
-    w = Window.partitionBy("execution_id").orderBy("sequence")
-    return log(spark, d).where("to_state = 'leased'").select("execution_id", "sequence", F.row_number().over(w).cast("long").alias("fence"))
+    return queues.lease_grants(log(spark, d), "execution_id", "sequence", F.col("to_state") == "leased").select("execution_id", "sequence", "fence")
 
 
 @query("dml08_reap", f"SELECT execution_id, attempt, CASE WHEN attempt >= 5 THEN 'dead' ELSE 'queued' END AS next_state, CASE WHEN attempt < 5 THEN {NOW} + least(30.0, 2.0 * pow(2.0, attempt - 1)) END AS next_attempt_at FROM (SELECT execution_id, max(attempt) AS attempt, max(shipped) AS shipped FROM attempts GROUP BY 1) WHERE shipped <= {NOW}")
@@ -80,8 +81,7 @@ def _(spark, d):
 
 @query("dml09_retry_decision", "SELECT execution_id, attempt, CASE WHEN reason = 'R' AND attempt < 4 THEN 'retry' WHEN reason = 'R' THEN 'dead' ELSE 'done' END AS decision, count(*) AS n FROM attempts GROUP BY ALL")
 def _(spark, d):
-    a, r = F.col("attempt"), F.col("reason") == "R"
-    made = F.when(r & (a < 4), "retry").when(r, "dead").otherwise("done")
+    made = queues.completion(F.col("reason") != "R", F.lit(True), F.col("attempt"), F.lit(4))
     return V.attempts(spark, d).groupBy("execution_id", "attempt", made.alias("decision")).agg(F.count("*").alias("n"))
 
 
@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query("dml11_cancellations", f"WITH {LOG_SQL} SELECT execution_id, min(sequence) FILTER (to_state = 'failed') AS cancelled_at, count(*) FILTER (to_state = 'running') AS runs FROM log GROUP BY 1")
 def _(spark, d):
-    return log(spark, d).groupBy("execution_id").agg(F.min(F.when(F.col("to_state") == "failed", F.col("sequence"))).alias("cancelled_at"), F.count_if(F.col("to_state") == "running").alias("runs"))
+    return queues.cancellations(log(spark, d), "execution_id", "sequence", F.col("to_state") == "failed", F.col("to_state") == "running")
 
 
 @query("dml12_queue_reap", "SELECT CASE WHEN attempt >= 6 THEN 'dead' ELSE 'pending' END AS state, count(*) AS n FROM attempts WHERE state = 'O' GROUP BY 1")
@@ -104,7 +104,7 @@ def _(spark, d):
 
 @query("dml13_dead_letter_retry", "SELECT execution_id, CASE WHEN max(attempt) >= 7 THEN 'pending' ELSE 'kept' END AS state FROM attempts WHERE reason = 'R' GROUP BY 1")
 def _(spark, d):
-    return V.attempts(spark, d).where("reason = 'R'").groupBy("execution_id").agg(F.when(F.max("attempt") >= 7, "pending").otherwise("kept").alias("state"))
+    return queues.retried_dead(V.attempts(spark, d).where("reason = 'R'"), "execution_id", F.col("attempt"), F.lit(7))
 
 
 @query("dml14_scd2", "SELECT run_id, item_key, revision, lead(revision) OVER (PARTITION BY run_id ORDER BY revision) AS valid_to FROM (SELECT *, lag(item_key) OVER (PARTITION BY run_id ORDER BY revision) AS p FROM items) WHERE p IS DISTINCT FROM item_key")
@@ -115,10 +115,9 @@ def _(spark, d):
 @query("dml15_retention_delete", "SELECT run_id, count(*) FILTER (revision > 2) AS kept, max(revision) FILTER (revision <= 2) AS expired_through FROM items GROUP BY 1")
 def _(spark, d):
     i = V.items(spark, d)
-    gone = i.where("revision <= 2").select("run_id", "revision")
-    kept = i.select("run_id", "revision").join(gone, ["run_id", "revision"], "left_anti").groupBy("run_id").agg(F.count("*").alias("kept"))
-    w = gone.groupBy("run_id").agg(F.max("revision").alias("expired_through"))
-    return i.select("run_id").distinct().join(kept, "run_id", "left").join(w, "run_id", "left").select("run_id", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "expired_through")
+    left, gone = queues.apply_deletions(i, i.where("revision <= 2"), "run_id", "revision")
+    kept = left.groupBy("run_id").agg(F.count("*").alias("kept"))
+    return i.select("run_id").distinct().join(kept, "run_id", "left").join(gone, "run_id", "left").select("run_id", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "expired_through")
 
 
 @query("dml16_open_effects", f"WITH {LOG_SQL} SELECT execution_id AS effect_id, arg_max(to_state, revision) AS state FROM log GROUP BY 1 HAVING arg_max(to_state, revision) IN ('leased', 'running')")
@@ -129,14 +128,13 @@ def _(spark, d):
 
 @query("dml17_parked_executions", "SELECT DISTINCT e.execution_id FROM executions e JOIN attempts a USING (execution_id) WHERE e.state = 'F' AND a.state = 'O' AND a.reason = 'N'")
 def _(spark, d):
-    return V.executions(spark, d).where("state = 'F'").select("execution_id").join(V.attempts(spark, d).where("state = 'O' AND reason = 'N'").select("execution_id"), "execution_id", "left_semi")
+    return queues.parked(V.executions(spark, d), V.attempts(spark, d), "execution_id", F.col("state") == "F", (F.col("state") == "O") & (F.col("reason") == "N")).select("execution_id")
 
 
 @query("dml18_overdrawn", "SELECT execution_id, run_id FROM (SELECT *, sum(total) OVER (PARTITION BY run_id ORDER BY created_at, execution_id ROWS UNBOUNDED PRECEDING) AS spent FROM executions WHERE state = 'F') JOIN runs USING (run_id) WHERE spent > allowance * 100")
 def _(spark, d):
-    w = Window.partitionBy("run_id").orderBy("created_at", "execution_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = V.executions(spark, d).where("state = 'F'").withColumn("spent", F.sum("total").over(w))
-    return e.join(V.runs(spark, d).select("run_id", "allowance"), "run_id").where(F.col("spent") > F.col("allowance") * 100).select("execution_id", "run_id")
+    allowances = V.runs(spark, d).select("run_id", (F.col("allowance") * 100).alias("limit"))
+    return queues.overdrawn(V.executions(spark, d).where("state = 'F'"), allowances, "run_id", ["created_at", "execution_id"], "total", "limit").select("execution_id", "run_id")
 
 
 @query("dml19_projection_sync", f"WITH {LOG_SQL} SELECT execution_id, max(revision) AS revision, arg_max(to_state, revision) AS state FROM log GROUP BY 1")
@@ -146,8 +144,7 @@ def _(spark, d):
 
 @query("dml20_continuations", "SELECT run_id AS previous, run_id * 2 + 1 AS next FROM runs WHERE run_id * 2 + 1 IN (SELECT run_id FROM runs)")
 def _(spark, d):
-    r = V.runs(spark, d)
-    return r.select(F.col("run_id").alias("previous"), (F.col("run_id") * 2 + 1).alias("next")).join(r.select(F.col("run_id").alias("next")), "next", "left_semi").select("previous", "next")
+    return queues.continuations(V.runs(spark, d), "run_id", F.col("run_id") * 2 + 1)
 
 
 @query("dml21_control_intervals", "SELECT run_id, created_at, lead(created_at) OVER (PARTITION BY run_id ORDER BY created_at) AS valid_to FROM (SELECT DISTINCT run_id, created_at FROM executions)")
@@ -224,8 +221,7 @@ def _(spark, d):
 @query("gra07_continuation_chain", "WITH RECURSIVE links AS (SELECT run_id AS p, run_id * 2 + 1 AS n FROM runs WHERE run_id * 2 + 1 IN (SELECT run_id FROM runs)), walk(start, direct, cur) AS (SELECT p, n, n FROM links UNION ALL SELECT w.start, w.direct, l.n FROM walk w JOIN links l ON l.p = w.cur) SELECT start, direct, max(cur) AS final, false AS cyclic FROM walk GROUP BY ALL")
 def _(spark, d):
     r = V.runs(spark, d)
-    links = r.select(F.col("run_id").alias("previous"), (F.col("run_id") * 2 + 1).alias("next")).join(r.select(F.col("run_id").alias("next")), "next", "left_semi")
-    return graph.chain_ends(links.select("previous", "next"))
+    return graph.chain_ends(queues.continuations(r, "run_id", F.col("run_id") * 2 + 1))
 
 
 @query("gra08_content_garbage", "SELECT execution_id AS node FROM executions WHERE execution_id NOT IN (SELECT execution_id FROM executions WHERE execution_id = 0 OR " + " OR ".join(f"execution_id // {1 << k} IN (3, 4)" for k in range(0, 24)) + ")")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, graph, history, joins
+from ..operators import aggs, graph, history, joins, queues
 from ..streaming import operators as S
 from . import views as V
 from .catalog import query
@@ -23,9 +23,11 @@ def _(spark, d):
     return S.lag(w, w.select("run_id", (F.col("run_id") % 4).alias("cursor")), "run_id").select("run_id", "cursor", "stale")
 
 
-@query("str03_subscription_cursors", "SELECT run_id, max(revision) AS cursor FROM items WHERE revision <= 4 GROUP BY 1")
+@query("str03_subscription_cursors", "SELECT run_id, greatest(max(revision) FILTER (revision <= 4), run_id % 7) AS cursor FROM items GROUP BY 1")
 def _(spark, d):
-    return V.items(spark, d).where("revision <= 4").groupBy("run_id").agg(F.max("revision").alias("cursor"))
+    i = V.items(spark, d)
+    cursors = i.select("run_id", (F.col("run_id") % 7).alias("cursor")).distinct()
+    return queues.acknowledged(cursors, i.where("revision <= 4").select("run_id", F.col("revision").alias("cursor")), "run_id", "cursor")
 
 
 @query("str04_drained_projection", "SELECT event_type, count(*) AS n, CAST(sum(sequence) AS BIGINT) AS checksum FROM ev GROUP BY 1")
@@ -65,8 +67,7 @@ def _(spark, d):
 
 @query("str09_incarnations", "SELECT execution_id, max(attempt) AS incarnation, CAST(sum(amount) AS BIGINT) AS total FROM (SELECT execution_id, attempt, max(amount) AS amount FROM attempts GROUP BY ALL) GROUP BY 1")
 def _(spark, d):
-    each = V.attempts(spark, d).groupBy("execution_id", "attempt").agg(F.max("amount").alias("amount"))
-    return each.groupBy("execution_id").agg(F.max("attempt").alias("incarnation"), F.sum("amount").alias("total"))
+    return queues.incarnations(V.attempts(spark, d), ["execution_id"], "attempt", "amount")
 
 
 @query("str10_late_rows", "SELECT execution_id, count(*) FILTER (attempt < m) AS late, count(*) FILTER (attempt = m) AS current FROM (SELECT *, max(attempt) OVER (PARTITION BY execution_id) AS m FROM attempts) GROUP BY 1")
@@ -84,25 +85,23 @@ def _(spark, d):
 
 @query("str12_expired_leases", f"SELECT execution_id, max(shipped) AS lease_expires_at FROM attempts GROUP BY 1 HAVING max(shipped) <= {NOW}")
 def _(spark, d):
-    return V.attempts(spark, d).groupBy("execution_id").agg(F.max("shipped").alias("lease_expires_at")).where(F.col("lease_expires_at") <= NOW)
+    return queues.expired(V.attempts(spark, d), "execution_id", "shipped", F.lit(NOW))
 
 
 @query("str13_dead_letters", "SELECT execution_id, count(*) AS tries FROM attempts WHERE reason = 'R' GROUP BY 1 HAVING count(*) >= 3")
 def _(spark, d):
-    return V.attempts(spark, d).where("reason = 'R'").groupBy("execution_id").agg(F.count("*").alias("tries")).where("tries >= 3")
+    return queues.dead_letters(V.attempts(spark, d).where("reason = 'R'"), "execution_id", 3)
 
 
 @query("str14_result_receipts", "SELECT e.execution_id, d.execution_id IS NOT NULL AS delivered, c.execution_id IS NOT NULL AS confirmed FROM executions e LEFT JOIN (SELECT DISTINCT execution_id FROM attempts WHERE reason = 'A') d USING (execution_id) LEFT JOIN (SELECT DISTINCT execution_id FROM attempts WHERE reason = 'N') c USING (execution_id) WHERE e.state = 'F'")
 def _(spark, d):
-    mark = lambda r, name: V.attempts(spark, d).where(F.col("reason") == r).select("execution_id").distinct().withColumn(name, F.lit(True))
-    e = V.executions(spark, d).where("state = 'F'").select("execution_id").join(mark("A", "a"), "execution_id", "left").join(mark("N", "n"), "execution_id", "left")
-    return e.select("execution_id", F.col("a").isNotNull().alias("delivered"), F.col("n").isNotNull().alias("confirmed"))
+    a = V.attempts(spark, d)
+    return queues.receipts(V.executions(spark, d).where("state = 'F'"), "execution_id", delivered=a.where("reason = 'A'"), confirmed=a.where("reason = 'N'"))
 
 
 @query("str15_two_hop_latency", "SELECT execution_id, min(shipped) - created_at AS latency FROM executions JOIN attempts USING (execution_id) GROUP BY execution_id, created_at")
 def _(spark, d):
-    a = V.attempts(spark, d).groupBy("execution_id").agg(F.min("shipped").alias("first"))
-    return V.executions(spark, d).join(a, "execution_id").select("execution_id", (F.col("first") - F.col("created_at")).alias("latency"))
+    return queues.two_hop_latency(V.executions(spark, d), V.attempts(spark, d), "execution_id", "created_at", "shipped")
 
 
 @query("str16_open_obligations", "SELECT execution_id FROM executions WHERE state = 'P' AND execution_id NOT IN (SELECT execution_id FROM attempts WHERE reason = 'A')")
@@ -110,23 +109,22 @@ def _(spark, d):
     return joins.absent(V.executions(spark, d).where("state = 'P'").select("execution_id"), V.attempts(spark, d).where("reason = 'A'"), ["execution_id"])
 
 
-@query("str17_clock_continuity", "SELECT sequence, CASE WHEN p IS NULL THEN 'first' WHEN event_type <> t THEN 'domain_change' WHEN sequence - p > 300 THEN 'gap' ELSE 'continuous' END AS continuity FROM (SELECT *, lag(sequence) OVER w AS p, lag(event_type) OVER w AS t FROM ev WINDOW w AS (PARTITION BY execution_id ORDER BY sequence))")
+@query("str17_clock_continuity", """SELECT sequence, CASE WHEN event_type = 'signup' THEN 'unknown_domain' WHEN p IS NULL THEN 'first' WHEN dm IS DISTINCT FROM t THEN 'domain_change' WHEN wall < pw THEN 'wall_backward' WHEN sequence - p > 300 THEN 'gap' WHEN abs((wall - pw) - (sequence - p)) > 300 THEN 'clock_jump' ELSE 'continuous' END AS continuity
+FROM (SELECT *, lag(sequence) OVER w AS p, lag(wall) OVER w AS pw, lag(dm) OVER w AS t FROM (SELECT *, sequence + CASE WHEN sequence % 50 = 0 THEN 1000 ELSE 0 END AS wall, CASE WHEN event_type = 'signup' THEN NULL WHEN execution_id % 2 = 0 THEN 'boot' ELSE event_type END AS dm FROM ev) WINDOW w AS (PARTITION BY execution_id ORDER BY sequence))""")
 def _(spark, d):
-    w = Window.partitionBy("execution_id").orderBy("sequence")
-    e = V.events(spark, d).withColumns({"p": F.lag("sequence").over(w), "t": F.lag("event_type").over(w)})
-    c = F.when(F.col("p").isNull(), "first").when(F.col("event_type") != F.col("t"), "domain_change").when(F.col("sequence") - F.col("p") > 300, "gap").otherwise("continuous")
-    return e.select("sequence", c.alias("continuity"))
+    domain = F.when(F.col("event_type") == "signup", None).when(F.col("execution_id") % 2 == 0, "boot").otherwise(F.col("event_type"))
+    e = V.events(spark, d).select("execution_id", "sequence", domain.alias("domain"), (F.col("sequence") + F.when(F.col("sequence") % 50 == 0, 1000).otherwise(0)).alias("wall"))
+    return queues.continuity(e, ["execution_id"], ["sequence"], "wall", "sequence", "domain", 300).select("sequence", "continuity")
 
 
 @query("str18_tick_counts", "SELECT sequence // 500 AS tick, count(*) AS n FROM ev GROUP BY 1")
 def _(spark, d):
-    return V.events(spark, d).groupBy(F.expr("sequence div 500").alias("tick")).agg(F.count("*").alias("n"))
+    return queues.tick_counts(V.events(spark, d), "sequence", 500)
 
 
 @query("str19_wait_intervals", "SELECT execution_id, min(sequence) FILTER (event_type = 'view') AS started_at, max(sequence) FILTER (event_type = 'click') AS ended_at FROM ev GROUP BY 1")
 def _(spark, d):
-    at = lambda t: F.when(F.col("event_type") == t, F.col("sequence"))
-    return V.events(spark, d).groupBy("execution_id").agg(F.min(at("view")).alias("started_at"), F.max(at("click")).alias("ended_at"))
+    return queues.wait_intervals(V.events(spark, d), "execution_id", "sequence", F.col("event_type") == "view", F.col("event_type") == "click")
 
 
 @query("str20_lifecycle_order", "SELECT execution_id, min(sequence) AS sequence FROM ev WHERE event_type IN ('signup', 'error') GROUP BY 1")

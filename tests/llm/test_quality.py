@@ -52,3 +52,35 @@ def test_features_do_not_cross_texts():
     both, at = quality.features(Words([a, b, b""]))
     one, _ = quality.features(Words([b]))
     assert at.tolist() == [0, 3, 5, 5] and (both[3:5] == one).all()
+
+
+def test_weights_equal_a_plain_loop():
+    """FTRL-proximal written out with dictionaries gives the same weights."""
+    rng = np.random.default_rng(5)
+    rows = [(np.unique(rng.integers(0, 50, 8)), int(rng.integers(0, 2))) for _ in range(200)]
+    rows = [(u, rng.random(len(u)), y) for u, y in rows]
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for u, x, y in rows:
+        features = [*zip(u.tolist(), x.tolist()), ("bias", 1.0)]
+        w = {k: weight(k) for k, _ in features}
+        p = 1 / (1 + np.exp(-(sum(w[k] * v for k, v in features) + 0.3)))
+        for k, v in features:
+            g = (p - y) * v
+            z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / quality.ALPHA * w[k]
+            n[k] = n.get(k, 0.0) + g * g
+    got = quality.ftrl(iter(rows), 0.3)
+    assert all(abs(got[k] - weight(k)) < 1e-5 for k in range(50)) and abs(got[-1] - weight("bias") - 0.3) < 1e-5
+
+
+def test_a_score_is_its_texts_alone(spark, docs):
+    texts = ["One plain sentence of some words.", "", None, "word " * 100_000, "$$$ %%%"]
+    w = np.random.default_rng(1).standard_normal((1 << quality.BITS) + 1).astype(np.float32)
+    together = {r.doc_id: r.score for r in quality.scores(docs([(i, t, "s") for i, t in enumerate(texts)]).coalesce(1), w).collect()}
+    apart = {r.doc_id: r.score for i, t in enumerate(texts) for r in quality.scores(docs([(i, t, "s")]), w).collect()}
+    assert together == apart and together[1] == together[2]
