@@ -55,17 +55,20 @@ def member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, size = [], 0
-    for b in batches:
-        for i, kind, uri, payload, to, full in zip(*[b.column(c).to_pylist() for c in ("id", "kind", "uri", "payload", "refers_to", "digest")]):
-            out.append(member(record_bytes(i, kind, uri, payload, to, full)))
-            size += len(out[-1])
-            if size >= ARCHIVE_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
-                out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+def _packer(archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for b in batches:
+            for i, kind, uri, payload, to, full in zip(*[b.column(c).to_pylist() for c in ("id", "kind", "uri", "payload", "refers_to", "digest")]):
+                out.append(member(record_bytes(i, kind, uri, payload, to, full)))
+                size += len(out[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
+    return run
 
 
 def plan_records(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
@@ -101,13 +104,13 @@ def base32(raw) -> object:
     return F.concat(*parts)
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write archives of about ARCHIVE_BYTES under path, through Spark's own file system layer.
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write archives of about archive_bytes under path, through Spark's own file system layer.
 
     Each row is one archive; the text writer puts it into a file of its own, followed by an empty
     gzip member, which readers of concatenated members pass over.
     """
-    made = records.mapInArrow(_pack, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made = records.mapInArrow(_packer(archive_bytes), "archive binary").select(F.col("archive").cast("string").alias("value"))
     made.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin1")).mode("overwrite").text(path)
 
 
@@ -200,12 +203,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, payloads: bool = True) -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, payloads: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row, read the archives back, and return what the records say (with payloads null unless wanted).
 
     A null payload is empty and a null address blank; a row of null id is a response of record id "null";
     of rows with equal id and payload each is a response; an empty table gives no rows.
     """
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession)
-    write_archives(plan_records(pages, id_col, uri_col, payload_col, min_bytes), path)
+    write_archives(plan_records(pages, id_col, uri_col, payload_col, min_bytes), path, archive_bytes)
     return read_archives(spark, path, payloads)

@@ -55,7 +55,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert made.dtypes == start.dtypes, stage
             got = [r.doc_id for r in made.collect()]
             if stage == "near_duplicates" and rows:
-                assert sorted(i for i in got if i) == [1, 3, 4, 5, 6, 7] and None in got
+                assert sorted(i for i in got if i) == sorted({i for i, c, _ in brute([r[:3] for r in docs]) if i == c}) == [1, 3, 4, 5, 6] and None in got
             elif stage == "repeated_passages" and rows:
                 assert sorted(i or 0 for i in got) == sorted(i or 0 for i, *_ in docs) and {r.doc_id: r.text for r in made.where("doc_id IN (2, 3, 7)").collect()} == {2: "", 3: None, 7: ""}
             assert rows or got == []

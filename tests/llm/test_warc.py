@@ -73,11 +73,10 @@ def test_other_writers_members_and_empty_input():
     assert [r["status"] for r in salvage(b"\x1f\x8b\x08nonsense")] == ["quarantined"]
 
 
-def test_archives_roll_over_and_extra_columns_clash(spark, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+def test_archives_roll_over_and_extra_columns_clash(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 70}</p>" * 30) for i in range(100)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).selectExpr("*", "1 AS sha", "2 AS first", "3 AS n", "4 AS digest", "5 AS payload")
-    got = warc.round_trip(df).collect()
+    got = warc.round_trip(df, archive_bytes=2000).collect()
     assert len({r.file for r in got}) > 2 and {r.status for r in got} == {"ok"}
     assert sorted((int(r.record_id), r.record_type, r.refers_to) for r in got) == [(i, "response" if i < 70 else "revisit", None if i < 70 else str(i - 70)) for i in range(100)]
     assert {int(r.record_id): bytes(r.payload).decode() for r in got if r.record_type == "response"} == {i: h for i, _, h in rows[:70]}
