@@ -1,4 +1,4 @@
-"""Reports over all runs at once: work availability and run diagnostics."""
+"""Reports over all runs at once: work availability, run diagnostics and cancellation evidence."""
 
 from __future__ import annotations
 
@@ -104,3 +104,64 @@ def run_diagnostics(tasks: DataFrame, executions: DataFrame, waits: DataFrame, n
         F.when(fits, F.col("_n")).alias("tasks"), F.least(F.col("_n"), F.lit(count_limit)).cast("long").alias("tasks_at_least"), "settled",
         F.coalesce("open_waits", F.lit(0)).cast("long").alias("open_waits"), (F.col("_n") > task_limit).alias("has_more"),
     )
+
+
+UNSETTLED_EFFECTS = ("prepared", "performing", "indeterminate")
+EFFECTS_SHOWN = 100
+
+
+def cancellation_evidence(
+    attempts: DataFrame, commands: DataFrame, executions: DataFrame, effects: DataFrame, receipts: DataFrame, reaped: DataFrame, sandboxes: DataFrame, history: bool = False,
+) -> DataFrame:
+    """Per task the evidence that its current attempt's cancellation was asked for, delivered, took the authority, and what it left; with history of all attempts.
+
+    attempts (run_id, task_id, attempt_index, execution_id, state, dispatched, cancel_reason), commands
+    (execution_id, delivered; cancel commands only), executions (execution_id, revision, attempt,
+    fence, state, recovery_target_state), effects (execution_id, state), receipts (execution_id,
+    receipt_id, cleanup_state, failed_phase), reaped (execution_id: cleanup that the supervisor has
+    proved), sandboxes (execution_id, attempt, fence, cleanup_confirmed).
+
+    Each fact is confirmed, pending, failed, unknown or not_applicable; a missing receipt is never
+    evidence that nothing happened outside.  Sandboxes of another generation are an issue and no
+    evidence; more than EFFECTS_SHOWN effects leave the external fact unknown.  Every source is
+    summed per execution before it joins.
+    """
+    x = F.col
+    if not history:
+        last = F.max_by(F.struct("attempt_index", "execution_id", "state", "dispatched", "cancel_reason"), "attempt_index").alias("last")
+        attempts = attempts.groupBy("run_id", "task_id").agg(last).select("run_id", "task_id", "last.*")
+    seen = executions.select("execution_id", "revision", "attempt", "fence", x("state").alias("_state"), x("recovery_target_state").alias("_target"), F.lit(True).alias("_known"))
+    asked = commands.groupBy("execution_id").agg(F.count("*").alias("_asked"), F.bool_and("delivered").alias("_delivered"))
+    done = effects.groupBy("execution_id").agg(F.count("*").alias("_effects"), F.bool_or(x("state").isin(*UNSETTLED_EFFECTS)).alias("_unsettled"))
+    proof = receipts.groupBy("execution_id").agg(
+        F.count("*").alias("_receipts"), F.bool_or(x("cleanup_state") == "confirmed").alias("_cleaned"), F.min_by("cleanup_state", F.when(x("cleanup_state").isNotNull(), x("receipt_id"))).alias("_cleanup"),
+        F.array_sort(F.collect_set("failed_phase")).alias("_failed"),
+    )
+    of_generation = sandboxes.join(executions.select("execution_id", x("attempt").alias("_a"), x("fence").alias("_f")), "execution_id").withColumn("_same", (x("attempt") == x("_a")) & (x("fence") == x("_f")))
+    boxes = of_generation.groupBy("execution_id").agg(F.bool_or(~x("_same")).alias("_other"), F.bool_and(x("cleanup_confirmed") | ~x("_same")).alias("_boxes_clean"))
+    j = attempts
+    for part in (asked, seen, done, proof, reaped.select("execution_id", F.lit(True).alias("_reaped")).distinct(), boxes):
+        j = j.join(part, "execution_id", "left")
+    yes = lambda c: F.coalesce(x(c) if isinstance(c, str) else c, F.lit(False))
+    known, intent, receipt = yes("_known"), x("_asked").isNotNull() | x("cancel_reason").isNotNull(), yes("_known") & x("_receipts").isNotNull()
+    never = x("cancel_reason").isNotNull() & ~x("dispatched")
+    committed = known & (yes(x("_state") == "cancelled") | yes(x("_target") == "cancelled"))
+    failed = F.coalesce(x("_failed"), F.array().cast("array<string>"))
+    j = j.withColumns({
+        "request": F.when(committed | intent | receipt, "confirmed").otherwise("unknown"),
+        "request_code": F.when(committed, "kernel_cancel_committed").when(intent, "application_cancel_intent").when(receipt, "runtime_request_persisted").otherwise("no_cancel_intent_observed"),
+        "delivery": F.when(x("_delivered"), "confirmed").when(x("_asked").isNotNull(), "pending").when(never, "not_applicable").otherwise("unknown"),
+        "authority": F.when(~known, "unknown").when(x("_state").isin(*TERMINAL, "recovery_required"), "confirmed").otherwise("pending"),
+        "local": F.when(~known, F.when(never, "not_applicable").otherwise("unknown")).when(yes("_cleaned") | yes("_reaped") & ~yes(x("_cleanup") == "not_applicable"), "confirmed")
+        .when(x("_cleanup").isNotNull(), x("_cleanup")).when(F.array_contains(failed, "process_cleanup"), "failed").otherwise("unknown"),
+        "external": F.when(~known, "unknown").when(yes("_unsettled") | yes(x("_effects") > EFFECTS_SHOWN), "unknown").when(x("_effects").isNotNull(), "confirmed").otherwise("not_applicable"),
+    })
+    boxed = known & x("_other").isNotNull()
+    local_open = x("local").isin("unknown", "failed")
+    cleanup = F.when(~boxed, x("local")).when(x("_other"), "unknown").when(~x("_boxes_clean"), "pending").when(local_open, "unknown").otherwise("confirmed")
+    issues = F.concat(F.transform(F.when(known, failed).otherwise(F.array().cast("array<string>")), lambda p: F.concat(F.lit("cancellation_phase_failed:"), p)), F.when(boxed & x("_other"), F.array(F.lit("sandbox_evidence_other_generation"))).otherwise(F.array().cast("array<string>")))
+    return j.select(
+        "run_id", "task_id", "attempt_index", "execution_id", "revision", "attempt", "fence", x("_state").alias("execution_state"), "state", F.when(x("state").isin(*TERMINAL), x("state")).alias("terminal"),
+        "request", "request_code", "delivery", "authority", "local", "external", cleanup.alias("cleanup"), F.when(known, F.least(F.coalesce("_effects", F.lit(0)), F.lit(EFFECTS_SHOWN))).otherwise(0).cast("long").alias("effects"),
+        yes(known & (x("_effects") > EFFECTS_SHOWN)).alias("effects_truncated"), F.when(known, F.coalesce("_receipts", F.lit(0))).otherwise(0).cast("long").alias("receipts"), issues.alias("issues"),
+    )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import aggs, paging, reports
 from . import views as V
 from .catalog import query
-from .mutation import LOG_SQL, log
 from .scans import NOW
 
 
@@ -60,12 +59,45 @@ def _(spark, d):
     return reports.run_diagnostics(tasks, kernel(spark, d), open_waits(spark, d), F.lit(NOW), task_limit=10, count_limit=15)
 
 
-@query("rpt03_cancellation_evidence", f"WITH {LOG_SQL}, c AS (SELECT execution_id, min(sequence) FILTER (to_state = 'failed') AS intent, max(sequence) FILTER (to_state = 'succeeded') AS result, max(sequence) FILTER (to_state = 'running') AS run FROM log GROUP BY 1) SELECT execution_id, intent, result, CASE WHEN intent IS NULL THEN 'not requested' WHEN result > intent THEN 'finished after' WHEN run > intent THEN 'still running' ELSE 'confirmed' END AS evidence FROM c")
+@query("rpt03_cancellation_evidence", f"""WITH {KERNEL_SQL},
+t AS (SELECT run_id, execution_id // 2 AS task_id, execution_id AS attempt_index, execution_id, CASE WHEN state = 'F' THEN 'cancelled' ELSE 'running' END AS state, revision <> '5-LOW' AS dispatched, execution_id % 5 = 0 AS cancels FROM executions
+  QUALIFY row_number() OVER (PARTITION BY run_id, execution_id // 2 ORDER BY execution_id DESC) = 1),
+k AS (SELECT execution_id, registry_revision, state, CASE WHEN state = 'recovery_required' AND execution_id % 2 = 0 THEN 'cancelled' END AS target FROM kernel),
+c AS (SELECT execution_id, bool_and(state = 'F') AS delivered FROM attempts WHERE attempt = 1 AND reason <> 'A' GROUP BY 1),
+f AS (SELECT execution_id, count(*) AS n, bool_or(reason = 'R') AS unsettled FROM attempts WHERE attempt >= 5 GROUP BY 1),
+r AS (SELECT execution_id, count(*) AS n, bool_or(reason = 'N') AS cleaned, arg_min(CASE reason WHEN 'N' THEN 'confirmed' WHEN 'A' THEN 'pending' END, CASE WHEN reason <> 'R' THEN attempt END) AS cleanup,
+  coalesce(list_sort(list(DISTINCT CASE WHEN amount % 2 = 0 THEN 'process_cleanup' ELSE 'provider_cancel' END) FILTER (reason = 'R')), []) AS failed FROM attempts WHERE attempt IN (2, 3) GROUP BY 1),
+p AS (SELECT DISTINCT execution_id FROM attempts WHERE attempt = 3 AND amount % 3 = 0),
+b AS (SELECT execution_id, bool_or(amount % 4 <> 1) AS other, bool_and(attempts.state = 'F' OR amount % 4 <> 1) AS clean FROM attempts JOIN kernel USING (execution_id) WHERE attempt = 4 AND amount % 4 < 3 GROUP BY 1),
+j AS (SELECT t.*, k.registry_revision AS revision, k.state AS execution_state, k.execution_id IS NOT NULL AS known, coalesce(k.target = 'cancelled', false) AS committed, c.execution_id IS NOT NULL AS asked, c.delivered, f.n AS effects, coalesce(unsettled, false) AS unsettled,
+  r.n AS receipts, coalesce(cleaned, false) AS cleaned, cleanup, coalesce(failed, []) AS failed, p.execution_id IS NOT NULL AS reaped, other, clean
+  FROM t LEFT JOIN k USING (execution_id) LEFT JOIN c USING (execution_id) LEFT JOIN f USING (execution_id) LEFT JOIN r USING (execution_id) LEFT JOIN p USING (execution_id) LEFT JOIN b USING (execution_id)),
+l AS (SELECT *, CASE WHEN NOT known AND cancels AND NOT dispatched THEN 'not_applicable' WHEN NOT known THEN 'unknown' WHEN cleaned OR reaped THEN 'confirmed' WHEN cleanup IS NOT NULL THEN cleanup WHEN list_contains(failed, 'process_cleanup') THEN 'failed' ELSE 'unknown' END AS local FROM j)
+SELECT run_id, task_id, attempt_index, execution_id, revision, CASE WHEN known THEN CAST(4 AS BIGINT) END AS attempt, CASE WHEN known THEN CAST(1 AS BIGINT) END AS fence, execution_state, state, CASE WHEN state = 'cancelled' THEN state END AS terminal,
+CASE WHEN committed OR asked OR cancels OR (known AND receipts > 0) THEN 'confirmed' ELSE 'unknown' END AS request,
+CASE WHEN committed THEN 'kernel_cancel_committed' WHEN asked OR cancels THEN 'application_cancel_intent' WHEN known AND receipts > 0 THEN 'runtime_request_persisted' ELSE 'no_cancel_intent_observed' END AS request_code,
+CASE WHEN asked AND delivered THEN 'confirmed' WHEN asked THEN 'pending' WHEN cancels AND NOT dispatched THEN 'not_applicable' ELSE 'unknown' END AS delivery,
+CASE WHEN NOT known THEN 'unknown' WHEN execution_state IN ('queued', 'leased', 'running') THEN 'pending' ELSE 'confirmed' END AS authority, local,
+CASE WHEN NOT known OR unsettled THEN 'unknown' WHEN effects > 0 THEN 'confirmed' ELSE 'not_applicable' END AS external,
+CASE WHEN NOT known OR other IS NULL THEN local WHEN other THEN 'unknown' WHEN NOT clean THEN 'pending' WHEN local IN ('unknown', 'failed') THEN 'unknown' ELSE 'confirmed' END AS cleanup,
+CASE WHEN known THEN coalesce(effects, 0) ELSE 0 END AS effects, false AS effects_truncated, CASE WHEN known THEN coalesce(receipts, 0) ELSE 0 END AS receipts,
+concat_ws(',', CASE WHEN known AND len(failed) > 0 THEN 'cancellation_phase_failed:' || array_to_string(failed, ',cancellation_phase_failed:') END, CASE WHEN known AND other THEN 'sandbox_evidence_other_generation' END) AS issues FROM l""")
 def _(spark, d):
-    at = lambda s, f: f(F.when(F.col("to_state") == s, F.col("sequence")))
-    c = log(spark, d).groupBy("execution_id").agg(at("failed", F.min).alias("intent"), at("succeeded", F.max).alias("result"), at("running", F.max).alias("run"))
-    e = F.when(F.col("intent").isNull(), "not requested").when(F.col("result") > F.col("intent"), "finished after").when(F.col("run") > F.col("intent"), "still running").otherwise("confirmed")
-    return c.select("execution_id", "intent", "result", e.alias("evidence"))
+    a = V.attempts(spark, d)
+    amount, reason = F.col("amount"), F.col("reason")
+    tasks = V.executions(spark, d).select(
+        "run_id", F.expr("execution_id DIV 2").alias("task_id"), F.col("execution_id").alias("attempt_index"), "execution_id", F.when(F.col("state") == "F", "cancelled").otherwise("running").alias("state"),
+        (F.col("revision") != "5-LOW").alias("dispatched"), F.when(F.col("execution_id") % 5 == 0, "asked").alias("cancel_reason"),
+    )
+    target = F.when((F.col("state") == "recovery_required") & (F.col("execution_id") % 2 == 0), "cancelled")
+    known = kernel(spark, d).select("execution_id", F.col("registry_revision").alias("revision"), F.lit(4).cast("long").alias("attempt"), F.lit(1).cast("long").alias("fence"), "state", target.alias("recovery_target_state"))
+    commands = a.where("attempt = 1 AND reason <> 'A'").select("execution_id", (F.col("state") == "F").alias("delivered"))
+    effects = a.where("attempt >= 5").select("execution_id", F.when(reason == "R", "indeterminate").otherwise("committed").alias("state"))
+    phase = F.when(reason == "R", F.when(amount % 2 == 0, "process_cleanup").otherwise("provider_cancel"))
+    receipts = a.where("attempt IN (2, 3)").select("execution_id", F.col("attempt").alias("receipt_id"), F.when(reason == "N", "confirmed").when(reason == "A", "pending").alias("cleanup_state"), phase.alias("failed_phase"))
+    boxes = a.where("attempt = 4 AND amount % 4 < 3").select("execution_id", "attempt", (amount % 4).alias("fence"), (F.col("state") == "F").alias("cleanup_confirmed"))
+    got = reports.cancellation_evidence(tasks, commands, known, effects, receipts, a.where("attempt = 3 AND amount % 3 = 0"), boxes)
+    return got.withColumn("issues", F.array_join("issues", ","))
 
 
 @query("rpt04_execution_origin", "SELECT x.id AS execution_id, e.run_id, r.kind, CASE WHEN e.execution_id IS NULL THEN 'unknown_execution' WHEN r.run_id IS NULL THEN 'unknown_run' ELSE 'found' END AS reason FROM (SELECT DISTINCT sequence * 7 AS id FROM ev) x LEFT JOIN executions e ON e.execution_id = x.id LEFT JOIN (SELECT * FROM runs WHERE owner < 15) r USING (run_id)")

@@ -285,3 +285,37 @@ def test_run_diagnostics(spark):
     assert {k: r.blocker for k, r in got.items()} == {("m", "t1"): None, ("m", "t2"): "retry_backoff", ("m", "t3"): "dependencies", ("n", "t1"): "execution_not_observed"}
     assert (got["m", "t1"].tasks, got["m", "t1"].tasks_at_least, got["m", "t1"].has_more, got["m", "t1"].open_waits, got["m", "t1"].settled) == (None, 3, True, 1, 1)
     assert (got["n", "t1"].tasks, got["n", "t1"].has_more) == (1, False) and got["m", "t3"].unmet == 1
+
+
+def test_cancellation_evidence(spark):
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    # current attempts: a committed, b asked but not delivered, c never dispatched, d nobody knows, e sandboxes, f another generation's sandbox, g many effects
+    tasks = [("m", t, 1, t, "running", t != "c", "stop" if t in "bc" else None) for t in "abcdefg"] + [("m", "a", 0, "old", "cancelled", True, "stop")]
+    args = (
+        frame([("a", True), ("a", True), ("b", True), ("b", False)], "execution_id string, delivered boolean"),
+        frame([("a", 3, 1, 7, "cancelled", None), ("b", 1, 1, 7, "running", None), ("e", 1, 1, 7, "recovery_required", "cancelled"), ("f", 1, 1, 7, "leased", None), ("g", 1, 1, 7, "succeeded", None)], "execution_id string, revision long, attempt long, fence long, state string, recovery_target_state string"),
+        frame([("a", "committed"), ("b", "prepared"), ("d", "committed")] + [("g", "committed")] * 101, "execution_id string, state string"),
+        frame([("a", 1, "confirmed", None), ("b", 1, None, "process_cleanup"), ("d", 1, "confirmed", None), ("e", 2, "confirmed", None), ("e", 1, "pending", None), ("f", 1, "not_applicable", None), ("g", 1, "pending", "provider_cancel")], "execution_id string, receipt_id long, cleanup_state string, failed_phase string"),
+        frame([("g",), ("f",)], "execution_id string"),
+        frame([("e", 1, 7, True), ("e", 1, 7, False), ("f", 1, 6, True)], "execution_id string, attempt long, fence long, cleanup_confirmed boolean"),
+    )
+    tasks = frame(tasks, "run_id string, task_id string, attempt_index long, execution_id string, state string, dispatched boolean, cancel_reason string")
+    got = {r.execution_id: r for r in reports.cancellation_evidence(tasks, *args).collect()}
+    facts = {k: (r.request, r.delivery, r.authority, r.local, r.external, r.cleanup) for k, r in got.items()}
+    assert facts == {
+        "a": ("confirmed", "confirmed", "confirmed", "confirmed", "confirmed", "confirmed"),
+        "b": ("confirmed", "pending", "pending", "failed", "unknown", "failed"),
+        "c": ("confirmed", "not_applicable", "unknown", "not_applicable", "unknown", "not_applicable"),
+        "d": ("unknown", "unknown", "unknown", "unknown", "unknown", "unknown"),
+        "e": ("confirmed", "unknown", "confirmed", "confirmed", "not_applicable", "pending"),
+        "f": ("confirmed", "unknown", "pending", "not_applicable", "not_applicable", "unknown"),
+        "g": ("confirmed", "unknown", "confirmed", "confirmed", "unknown", "confirmed"),
+    }
+    assert {k: r.request_code for k, r in got.items()} == {
+        "a": "kernel_cancel_committed", "b": "application_cancel_intent", "c": "application_cancel_intent", "d": "no_cancel_intent_observed",
+        "e": "kernel_cancel_committed", "f": "runtime_request_persisted", "g": "runtime_request_persisted",
+    }
+    assert (got["g"].effects, got["g"].effects_truncated, got["g"].issues) == (100, True, ["cancellation_phase_failed:provider_cancel"])
+    assert got["f"].issues == ["sandbox_evidence_other_generation"] and got["d"].receipts == 0 and got["a"].terminal is None
+    every = {r.execution_id: r for r in reports.cancellation_evidence(tasks, *args, history=True).collect()}
+    assert every.keys() == got.keys() | {"old"} and every["old"].terminal == "cancelled" and every["old"].request == "confirmed"
